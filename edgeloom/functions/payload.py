@@ -1,7 +1,15 @@
-"""Access to the untyped event payload. Text and numbers are kept apart; nothing is coerced."""
+"""Access to the untyped event payload.
+
+A JSON value is read in two forms. The *text form* holds it only if it is JSON text: a variant casts to binary from
+text and from nothing else. The *any form* holds every value spelt out. A value present in the any form alone is
+therefore a number, a flag, an object or a list - nothing is coerced by accident. Both forms are single casts of a
+whole object or list, done in native code.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,44 +20,45 @@ def get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def fields(v: Column, *names: str) -> Column:
-    """The named members of an object in one pass; null when `v` is no object."""
-    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+def in_binary(shape: str) -> str:
+    return shape.replace(":string", ":binary").replace("<string>", "<binary>")
+
+
+def text_as(v: Column, path: str, shape: str) -> Column:
+    """The text form in a nested shape written with `string` leaves."""
+    return any_as(v, path, in_binary(shape)).cast(shape)
 
 
-def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def any_as(v: Column, path: str, shape: str) -> Column:
+    return F.try_variant_get(v, path, shape)
 
 
-def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "struct<`_`:variant>").isNotNull()
+def struct_of(names: Sequence[str]) -> str:
+    return "struct<" + ",".join(f"{n}:string" for n in names) + ">"
 
 
-def text(v: Column) -> Column:
+def text(v: Column, path: str = "$") -> Column:
     """The value if it is JSON text, else null."""
-    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.try_variant_get(v, path, "binary").cast("string")
 
 
-def is_not_text(v: Column) -> Column:
+def is_not_text(text_form: Column, any_form: Column) -> Column:
     """Present, not null and not text."""
-    return F.coalesce(~kind(v).isin("STRING", "VOID"), F.lit(False))
+    return text_form.isNull() & any_form.isNotNull()
 
 
-def _is_number(v: Column) -> Column:
-    k = kind(v)
-    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
+def is_object(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "struct<`_`:variant>").isNotNull()
 
 
-def number_to_int(v: Column) -> Column:
-    """A JSON number cut to an int; anything else is null."""
-    return F.when(_is_number(v), F.try_variant_get(v, "$", "double").try_cast("int"))
+def number_to_int(text_form: Column, any_form: Column) -> Column:
+    """A JSON number cut to an int; anything else is null. Flags, objects and lists do not read as numbers."""
+    return F.when(text_form.isNull(), any_form.try_cast("double").try_cast("int"))
 
 
-def line_to_int(v: Column) -> Column:
-    """A line reference given as a number or as text with an optional leading `L`."""
-    return F.when(_is_number(v), F.try_variant_get(v, "$", "double").try_cast("int")).when(
-        kind(v) == "STRING", line_number(F.try_variant_get(v, "$", "string"))
-    )
+def line_to_int(text_form: Column, any_form: Column) -> Column:
+    """A line reference: a number, or text with an optional leading `L`."""
+    return F.coalesce(line_number(text_form), number_to_int(text_form, any_form))
 
 
 _TIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,6})?\z"

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from edgeloom import constants as C
 from edgeloom.functions import keys as K
 from edgeloom.functions import text as T
+from edgeloom.sources.events import unnest_members
 
 
 def unnest_tables(decoded: DataFrame) -> DataFrame:
     """One row per usable table mention; blank names are skipped."""
-    return (
-        decoded.filter(F.col("tables").isNotNull())
-        .select(*C.EVENT_KEY, "event_time", F.inline("tables"))
-        .filter(F.col("bad").isNull() & ~T.is_blank(F.col("name")))
-        .drop("bad", "has_bad_column")
-    )
+    members = unnest_members(decoded, "event_time")
+    return members.filter(F.col("bad").isNull() & ~T.is_blank(F.col("name"))).drop("bad", "has_bad_column")
 
 
 def with_role(mentions: DataFrame) -> DataFrame:

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from edgeloom import constants as C
 from edgeloom.functions import keys as K
 from edgeloom.functions import text as T
+from edgeloom.sources.events import unnest_edge_members
 
 
 def unnest_edges(decoded: DataFrame) -> DataFrame:
-    """All five edge arrays as rows; the decoder has joined them and given the default types."""
-    return (
-        decoded.filter(F.size("edges") > 0)
-        .select(*C.EVENT_KEY, "event_time", F.col("file.filePath").alias("file_path"), F.inline("edges"))
-        .filter(F.col("bad").isNull())
-        .drop("bad")
-    )
+    """The usable members of all five edge arrays, typed by their array where they state no type."""
+    members = unnest_edge_members(decoded, "event_time", F.col("file.filePath").alias("file_path"))
+    return members.filter(F.col("bad").isNull()).drop("bad")
 
 
 def with_both_ends(edges: DataFrame) -> DataFrame:

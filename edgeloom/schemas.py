@@ -13,10 +13,14 @@ _DDL = {
         run_id STRING, event_seq BIGINT, event_tie BIGINT, event_type STRING, pod_id STRING,
         event_time TIMESTAMP_NTZ, reason STRING, makes_run BOOLEAN,
         file STRUCT<filePath: STRING, fileUrl: STRING, fileHash: STRING, fileType: STRING, status: STRING>,
-        tables ARRAY<STRUCT<pos: INT, name: STRING, role: STRING, schema: STRING, columns: ARRAY<STRING>,
-            has_bad_column: BOOLEAN, bad: STRING>>,
-        edges ARRAY<STRUCT<pos: INT, from_table: STRING, to_table: STRING, from_column: STRING, to_column: STRING,
-            transformation_type: STRING, edge_type: STRING, start_line: INT, end_line: INT, bad: STRING>>,
+        tables ARRAY<STRUCT<name: STRING, role: STRING, schema: STRING, columns: ARRAY<STRING>>>,
+        tables_any ARRAY<STRUCT<name: STRING, role: STRING, schema: STRING, columns: ARRAY<STRING>>>,
+        edges ARRAY<STRUCT<from_table: STRING, to_table: STRING, from_column: STRING, to_column: STRING,
+            edge_type: STRING, transformation_type: STRING,
+            transformation_lines: VARIANT>>,
+        edges_any ARRAY<STRUCT<from_table: STRING, to_table: STRING, from_column: STRING, to_column: STRING,
+            edge_type: STRING, transformation_type: STRING>>,
+        edge_starts STRUCT<s1: INT, s2: INT, s3: INT, s4: INT>,
         started STRUCT<repositoryUrl: STRING, branch: STRING, triggeredBy: STRING>,
         progress STRUCT<currentFile: STRING, currentPhase: STRING, totalFiles: INT, processedFiles: INT,
             errorCount: INT>,

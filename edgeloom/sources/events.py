@@ -2,7 +2,8 @@
 
 `decode` parses each line a single time. Its output has one row per event with the file facts, the table
 mentions and the edges as nested typed columns, so a stored copy lets every later step read only its own part.
-A value of the wrong JSON type is never coerced: it marks its event, mention or edge with a reason.
+A value of the wrong JSON type is never coerced: it marks its event, mention or edge with a reason. The `*_any`
+columns, in which such values are still visible, are null for the events that have none.
 """
 
 from __future__ import annotations
@@ -14,21 +15,36 @@ from edgeloom import constants as C
 from edgeloom.functions import payload as P
 from edgeloom.functions import text as T
 
+HEAD_FIELDS = ["eventType", "runId", "podId", "timestamp"]
 FILE_FIELDS = ["filePath", "fileUrl", "fileHash", "fileType", "status"]
 STARTED_FIELDS = ["repositoryUrl", "branch", "triggeredBy"]
 PROGRESS_FIELDS = ["currentFile", "currentPhase"]
 COUNTERS = ["totalFiles", "processedFiles", "errorCount"]
+TABLE_FIELDS = ["name", "role", "schema"]
 EDGE_FIELDS = ["from_table", "to_table", "from_column", "to_column", "edge_type", "transformation_type"]
+LINE_FIELDS = ["start_line", "end_line"]
 
 # Edge arrays in the order they are read, with the edge type a member gets when it states none.
 EDGE_ARRAYS = [
-    ("$.lineageEdges", None),
-    ("$.table_edges", "TABLE_EDGE"),
-    ("$.column_edges", "COLUMN_EDGE"),
-    ("$.lineage.table_edges", "TABLE_EDGE"),
-    ("$.lineage.column_edges", "COLUMN_EDGE"),
+    ("lineageEdges", None),
+    ("table_edges", "TABLE_EDGE"),
+    ("column_edges", "COLUMN_EDGE"),
+    ("lineage.table_edges", "TABLE_EDGE"),
+    ("lineage.column_edges", "COLUMN_EDGE"),
 ]
 
+_SCALARS = [*FILE_FIELDS, *STARTED_FIELDS, *PROGRESS_FIELDS, *COUNTERS, "error"]
+_EDGE_TEXTS = ",".join(f"{n}:string" for n in EDGE_FIELDS)
+TABLES_SHAPE = "array<struct<name:string,role:string,schema:string,columns:array<string>>>"
+EDGES_SHAPE = f"array<struct<{_EDGE_TEXTS},transformation_lines:variant>>"
+EDGES_ANY_SHAPE = f"array<struct<{_EDGE_TEXTS}>>"
+
+
+def _payload_shape(edges: str) -> str:
+    arrays = f"table_edges:{edges},column_edges:{edges}"
+    scalars = ",".join(f"{n}:string" for n in _SCALARS)
+    return f"struct<{scalars},tables:{TABLES_SHAPE},lineageEdges:{edges},{arrays},lineage:struct<{arrays}>>"
+
 
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -44,36 +60,32 @@ def parse_envelope(lines: DataFrame) -> DataFrame:
     A line without `event_seq` is ordered by its time, then by a hash of the line.
     """
     epoch = F.lit("1970-01-01T00:00:00").cast("timestamp_ntz")
-    raw = lines.select("value", F.try_parse_json("value").alias("v"))
-    head = raw.select(
-        "value",
-        P.fields(F.col("v"), "eventType", "runId", "podId", "timestamp").alias("h"),
-        P.get(F.col("v"), "$.event_seq", "bigint").alias("stated_seq"),
-        P.get(F.col("v"), "$.data").alias("data"),
+    v = F.col("v")
+    typed = (
+        lines.select("value", F.try_parse_json("value").alias("v"))
+        .select(
+            "value",
+            P.text_as(v, "$", P.struct_of(HEAD_FIELDS)).alias("h"),
+            P.any_as(v, "$", "struct<timestamp:string>").alias("any_head"),
+            P.get(v, "$.event_seq", "bigint").alias("stated_seq"),
+            P.get(v, "$.data").alias("data"),
+        )
+        .withColumn("event_time", P.event_time(F.col("h.timestamp")))
+    )
+    stated_time, event_type = F.col("h.timestamp"), F.col("h.eventType")
+    odd_time = P.is_not_text(stated_time, F.col("any_head.timestamp")) | (
+        ~T.is_blank(stated_time) & F.col("event_time").isNull()
     )
-    typed = head.select(
-        "value",
-        "data",
-        "stated_seq",
-        F.col("h").isNotNull().alias("is_event"),
-        P.text(F.col("h.eventType")).alias("event_type"),
-        P.text(F.col("h.runId")).alias("run_id"),
-        P.text(F.col("h.podId")).alias("pod_id"),
-        P.is_not_text(F.col("h.timestamp")).alias("odd_time"),
-        P.text(F.col("h.timestamp")).alias("time_text"),
-    ).withColumn("event_time", P.event_time(F.col("time_text")))
     return typed.select(
-        F.when(~F.col("is_event"), "not_json")
-        .when(
-            F.col("odd_time") | (~T.is_blank(F.col("time_text")) & F.col("event_time").isNull()), "bad_timestamp"
-        )
-        .when(F.col("event_type").isNull() | ~F.col("event_type").isin(*C.EVENT_TYPES), "unknown_event_type")
-        .when(T.is_blank(F.col("run_id")), "bad_run_id")
+        F.when(F.col("h").isNull(), "not_json")
+        .when(odd_time, "bad_timestamp")
+        .when(event_type.isNull() | ~event_type.isin(*C.EVENT_TYPES), "unknown_event_type")
+        .when(T.is_blank(F.col("h.runId")), "bad_run_id")
         .when(F.col("stated_seq").isNull() & F.col("event_time").isNull(), "no_order")
         .alias("reason"),
-        "event_type",
-        "run_id",
-        "pod_id",
+        event_type.alias("event_type"),
+        F.col("h.runId").alias("run_id"),
+        F.col("h.podId").alias("pod_id"),
         "event_time",
         F.coalesce("stated_seq", F.timestamp_diff("MICROSECOND", epoch, F.col("event_time"))).alias("event_seq"),
         F.when(F.col("stated_seq").isNull(), F.xxhash64("value")).otherwise(F.lit(0)).alias("event_tie"),
@@ -93,73 +105,31 @@ def drop_replays(envelopes: DataFrame) -> DataFrame:
     return envelopes.withColumn("copy", F.row_number().over(w)).filter("copy = 1").drop("copy")
 
 
-def _tables() -> Column:
-    """`data.tables` as typed mentions."""
-
-    def typed(m: Column, i: Column) -> Column:
-        columns = P.get(m["columns"], "$", "array<variant>")
-        bad = F.when(m.isNull(), "table_not_object")
-        for name in ("name", "role", "schema"):
-            bad = bad.when(P.is_not_text(m[name]), f"bad_text:{name}")
-        return F.struct(
-            i.alias("pos"),
-            P.text(m["name"]).alias("name"),
-            P.text(m["role"]).alias("role"),
-            P.text(m["schema"]).alias("schema"),
-            F.transform(columns, P.text).alias("columns"),
-            F.exists(columns, P.is_not_text).alias("has_bad_column"),
-            bad.alias("bad"),
-        )
-
-    members = P.get(F.col("data"), "$.tables", "array<variant>")
-    return F.transform(
-        F.transform(members, lambda x: P.fields(x, "name", "role", "schema", "columns")), typed
-    )
+def _joined(form: str, shape: str) -> Column:
+    """The five edge arrays as one, one after the other."""
+    nothing = F.array().cast(shape)
+    return F.concat(*[F.coalesce(f"{form}.{path}", nothing) for path, _ in EDGE_ARRAYS])
 
 
-def _edges() -> Column:
-    """The five edge arrays as one typed array; `pos` counts through all of them."""
+def _array_starts(form: str) -> Column:
+    """Where each edge array but the first starts in the joined array."""
+    starts, total = [], F.lit(0)
+    for i, (path, _) in enumerate(EDGE_ARRAYS[:-1], start=1):
+        total = total + F.when(F.col(f"{form}.{path}").isNull(), 0).otherwise(F.size(f"{form}.{path}"))
+        starts.append(total.alias(f"s{i}"))
+    return F.struct(*starts)
 
-    def tagged(path: str, default: str | None) -> Column:
-        members = P.get(F.col("data"), path, "array<variant>")
-        return F.coalesce(
-            F.transform(
-                members,
-                lambda x: F.struct(
-                    P.fields(x, *EDGE_FIELDS, "transformation_lines").alias("e"),
-                    F.lit(default).cast("string").alias("default_type"),
-                ),
-            ),
-            F.array().cast(
-                "array<struct<e:struct<"
-                + ",".join(f"{n}:variant" for n in (*EDGE_FIELDS, "transformation_lines"))
-                + ">,default_type:string>>"
-            ),
-        )
 
-    def typed(m: Column, i: Column) -> Column:
-        e = m["e"]
-        lines = P.fields(e["transformation_lines"], "start_line", "end_line")
-        bad = F.when(e.isNull(), "edge_not_object")
-        for name in EDGE_FIELDS:
-            bad = bad.when(P.is_not_text(e[name]), f"bad_text:{name}")
-        bad = bad.when(
-            lines.isNull() & F.coalesce(P.kind(e["transformation_lines"]) != "VOID", F.lit(False)), "lines_not_object"
-        )
-        return F.struct(
-            i.alias("pos"),
-            *[P.text(e[n]).alias(n) for n in EDGE_FIELDS if n != "edge_type"],
-            F.coalesce(P.text(e["edge_type"]), m["default_type"]).alias("edge_type"),
-            P.line_to_int(lines["start_line"]).alias("start_line"),
-            P.line_to_int(lines["end_line"]).alias("end_line"),
-            bad.alias("bad"),
-        )
+def _default_edge_type(pos: Column, starts: Column) -> Column:
+    """The type an edge has by the array it stood in."""
+    in_array = F.when(pos < starts["s1"], F.lit(EDGE_ARRAYS[0][1]).cast("string"))
+    for i, (_, default) in enumerate(EDGE_ARRAYS[1:-1], start=2):
+        in_array = in_array.when(pos < starts[f"s{i}"], default)
+    return in_array.otherwise(EDGE_ARRAYS[-1][1])
 
-    return F.transform(F.concat(*[tagged(path, default) for path, default in EDGE_ARRAYS]), typed)
 
-
-def _text_struct(parent: str, names: list[str]) -> Column:
-    return F.struct(*[P.text(F.col(f"{parent}.{n}")).alias(n) for n in names])
+def _differs(a: Column, b: Column) -> Column:
+    return ~a.eqNullSafe(b)
 
 
 def decode(envelopes: DataFrame) -> DataFrame:
@@ -168,13 +138,17 @@ def decode(envelopes: DataFrame) -> DataFrame:
     A payload whose own text fields hold something else is set aside as a whole, as is a start or file event
     whose payload is no object. `makes_run` says whether the event brings its run into being all the same.
     """
-    scalars = [*FILE_FIELDS, *STARTED_FIELDS, *PROGRESS_FIELDS, *COUNTERS, "error", "stats"]
-    opened = envelopes.withColumn("p", P.fields(F.col("data"), *scalars))
     kind = F.col("event_type")
     progress = kind.isin(C.PROGRESS_UPDATE, C.JOB_STATUS_UPDATE)
     is_file = kind == C.FILE_EXTRACTION
+    data = F.col("data")
+    opened = envelopes.select(
+        "*",
+        P.text_as(data, "$", _payload_shape(EDGES_SHAPE)).alias("t"),
+        P.any_as(data, "$", _payload_shape(EDGES_ANY_SHAPE)).alias("a"),
+    )
 
-    payload_reason = F.when(kind.isin(C.RUN_STARTED, C.FILE_EXTRACTION) & F.col("p").isNull(), "bad_payload")
+    payload_reason = F.when(kind.isin(C.RUN_STARTED, C.FILE_EXTRACTION) & F.col("a").isNull(), "bad_payload")
     for names, when in (
         (FILE_FIELDS, is_file),
         (STARTED_FIELDS, kind == C.RUN_STARTED),
@@ -182,33 +156,44 @@ def decode(envelopes: DataFrame) -> DataFrame:
         (["error"], kind == C.RUN_FAILED),
     ):
         for n in names:
-            payload_reason = payload_reason.when(when & P.is_not_text(F.col(f"p.{n}")), f"bad_text:{n}")
+            payload_reason = payload_reason.when(when & P.is_not_text(F.col(f"t.{n}"), F.col(f"a.{n}")), f"bad_text:{n}")
+
+    odd_edges = F.lit(False)
+    for path, _ in EDGE_ARRAYS:
+        for n in EDGE_FIELDS:
+            odd_edges = odd_edges | _differs(F.col(f"t.{path}.{n}"), F.col(f"a.{path}.{n}"))
+
+    judged = opened.withColumn("whole_reason", F.coalesce("reason", payload_reason))
+    ok = F.col("whole_reason").isNull()
+
+    def part(names: list[str]) -> Column:
+        return F.struct(*[F.col(f"t.{n}").alias(n) for n in names])
 
-    # Reasons are decided first and the arrays are opened only for usable file events.
-    judged = opened.withColumn("payload_reason", F.when(F.col("reason").isNull(), payload_reason))
-    ok = F.col("reason").isNull() & F.col("payload_reason").isNull()
     return judged.select(
         *C.EVENT_KEY,
         "event_type",
         "pod_id",
         "event_time",
-        F.coalesce("reason", "payload_reason").alias("reason"),
-        (
-            F.col("reason").isNull() & (F.col("payload_reason").isNull() | ~kind.isin(C.RUN_STARTED, C.RUN_FAILED))
-        ).alias("makes_run"),
-        F.when(ok & is_file, _text_struct("p", FILE_FIELDS)).alias("file"),
-        F.when(ok & is_file, _tables()).alias("tables"),
-        F.when(ok & is_file, _edges()).alias("edges"),
-        F.when(ok & (kind == C.RUN_STARTED), _text_struct("p", STARTED_FIELDS)).alias("started"),
+        F.col("whole_reason").alias("reason"),
+        (F.col("reason").isNull() & (ok | ~kind.isin(C.RUN_STARTED, C.RUN_FAILED))).alias("makes_run"),
+        F.when(ok & is_file, part(FILE_FIELDS)).alias("file"),
+        F.when(ok & is_file, F.col("t.tables")).alias("tables"),
+        F.when(ok & is_file & _differs(F.col("t.tables"), F.col("a.tables")), F.col("a.tables")).alias("tables_any"),
+        F.when(ok & is_file, _joined("t", EDGES_SHAPE)).alias("edges"),
+        F.when(ok & is_file & odd_edges, _joined("a", EDGES_ANY_SHAPE)).alias("edges_any"),
+        F.when(ok & is_file, _array_starts("t")).alias("edge_starts"),
+        F.when(ok & (kind == C.RUN_STARTED), part(STARTED_FIELDS)).alias("started"),
         F.when(
             ok & progress,
             F.struct(
-                *[P.text(F.col(f"p.{n}")).alias(n) for n in PROGRESS_FIELDS],
-                *[P.number_to_int(F.col(f"p.{n}")).alias(n) for n in COUNTERS],
+                *[F.col(f"t.{n}").alias(n) for n in PROGRESS_FIELDS],
+                *[P.number_to_int(F.col(f"t.{n}"), F.col(f"a.{n}")).alias(n) for n in COUNTERS],
             ),
         ).alias("progress"),
-        F.when(ok & (kind == C.RUN_FAILED), P.text(F.col("p.error"))).alias("error"),
-        F.when(ok & (kind == C.RUN_COMPLETED) & P.is_object(F.col("p.stats")), F.col("p.stats")).alias("stats"),
+        F.when(ok & (kind == C.RUN_FAILED), F.col("t.error")).alias("error"),
+        F.when(
+            ok & (kind == C.RUN_COMPLETED) & P.is_object(data, "$.stats"), P.get(data, "$.stats")
+        ).alias("stats"),
         F.when(~ok, F.col("line")).alias("line"),
     )
 
@@ -219,6 +204,44 @@ def decode_lines(lines: DataFrame, replays: bool = True) -> DataFrame:
     return decode(drop_replays(envelopes) if replays else envelopes)
 
 
+def unnest_members(decoded: DataFrame, *keep: str | Column) -> DataFrame:
+    """One row per member of `tables`, with its position, its fields and what is `bad` about it."""
+    some = decoded.filter(F.size("tables") > 0)
+    some = some.withColumn("tables_any", F.coalesce("tables_any", F.array().cast(TABLES_SHAPE)))
+    rows = some.select(*C.EVENT_KEY, *keep, F.posexplode(F.arrays_zip("tables", "tables_any")).alias("pos", "m"))
+    t, a = F.col("m.tables"), F.col("m.tables_any")
+    bad = F.when(t.isNull(), "table_not_object")
+    for n in TABLE_FIELDS:
+        bad = bad.when(P.is_not_text(t[n], a[n]), f"bad_text:{n}")
+    odd_column = a.isNotNull() & _differs(t["columns"], a["columns"])
+    return rows.withColumns({"bad": bad, "has_bad_column": odd_column}).select(
+        *[c for c in rows.columns if c != "m"], "m.tables.*", "bad", "has_bad_column"
+    )
+
+
+def unnest_edge_members(decoded: DataFrame, *keep: str | Column) -> DataFrame:
+    """One row per member of the five edge arrays; a missing or null edge type takes that of its array."""
+    some = decoded.filter(F.size("edges") > 0)
+    some = some.withColumn("edges_any", F.coalesce("edges_any", F.array().cast(EDGES_ANY_SHAPE)))
+    members = F.arrays_zip("edges", "edges_any")
+    rows = some.select(*C.EVENT_KEY, *keep, "edge_starts", F.posexplode(members).alias("pos", "m"))
+    t, a = F.col("m.edges"), F.col("m.edges_any")
+    lines = t["transformation_lines"]
+    shape = P.struct_of(LINE_FIELDS)
+    rows = rows.withColumns({"lt": P.text_as(lines, "$", shape), "la": P.any_as(lines, "$", shape)})
+    bad = F.when(t.isNull(), "edge_not_object")
+    for n in EDGE_FIELDS:
+        bad = bad.when(P.is_not_text(t[n], a[n]), f"bad_text:{n}")
+    bad = bad.when(F.col("la").isNull() & lines.isNotNull() & ~F.is_variant_null(lines), "lines_not_object")
+    return rows.select(
+        *[c for c in rows.columns if c not in ("m", "edge_starts", "lt", "la")],
+        *[t[n].alias(n) for n in EDGE_FIELDS if n != "edge_type"],
+        F.coalesce(t["edge_type"], _default_edge_type(F.col("pos"), F.col("edge_starts"))).alias("edge_type"),
+        *[P.line_to_int(F.col(f"lt.{n}"), F.col(f"la.{n}")).alias(n) for n in LINE_FIELDS],
+        bad.alias("bad"),
+    )
+
+
 def route(decoded: DataFrame, event_type: str) -> DataFrame:
     """The usable events of one type."""
     return decoded.filter((F.col("event_type") == event_type) & F.col("reason").isNull())
@@ -226,30 +249,27 @@ def route(decoded: DataFrame, event_type: str) -> DataFrame:
 
 def quarantine(decoded: DataFrame) -> DataFrame:
     """Everything set aside, one row each, with the reason and where it stood."""
-    key = [F.col(c) for c in C.EVENT_KEY]
+    key = C.EVENT_KEY
+    no_line = F.lit(None).cast("string").alias("line")
     events = decoded.filter(F.col("reason").isNotNull()).select(
         *key, F.lit("event").alias("item"), F.lit(None).cast("int").alias("pos"), "reason", "line"
     )
-    text = F.lit(None).cast("string").alias("line")
     mentions = (
-        decoded.select(*key, F.inline("tables"))
-        .filter(F.col("bad").isNotNull())
-        .select(*key, F.lit("table").alias("item"), "pos", F.col("bad").alias("reason"), text)
-    )
-    columns = (
-        decoded.select(*key, F.inline("tables"))
-        .filter(F.col("bad").isNull() & F.col("has_bad_column"))
-        .select(*key, F.lit("columns").alias("item"), "pos", F.lit("bad_text:columns").alias("reason"), text)
+        unnest_members(decoded)
+        .filter(F.col("bad").isNotNull() | F.col("has_bad_column"))
+        .select(
+            *key,
+            F.when(F.col("bad").isNotNull(), "table").otherwise("columns").alias("item"),
+            "pos",
+            F.coalesce("bad", F.lit("bad_text:columns")).alias("reason"),
+            no_line,
+        )
     )
+    dots = T.is_dots_only(F.col("from_table")) | T.is_dots_only(F.col("to_table"))
     edges = (
-        decoded.select(*key, F.inline("edges"))
-        .withColumn(
-            "reason",
-            F.when(F.col("bad").isNotNull(), F.col("bad")).when(
-                T.is_dots_only(F.col("from_table")) | T.is_dots_only(F.col("to_table")), "dots_only_name"
-            ),
-        )
+        unnest_edge_members(decoded)
+        .withColumn("reason", F.coalesce("bad", F.when(dots, "dots_only_name")))
         .filter(F.col("reason").isNotNull())
-        .select(*key, F.lit("edge").alias("item"), "pos", "reason", text)
+        .select(*key, F.lit("edge").alias("item"), "pos", "reason", no_line)
     )
-    return events.unionByName(mentions).unionByName(columns).unionByName(edges)
+    return events.unionByName(mentions).unionByName(edges)
