@@ -142,10 +142,19 @@ def decode(envelopes: DataFrame) -> DataFrame:
     progress = kind.isin(C.PROGRESS_UPDATE, C.JOB_STATUS_UPDATE)
     is_file = kind == C.FILE_EXTRACTION
     data = F.col("data")
+    # Two casts open the payload: `b` holds text only, still as bytes, `a` holds any value spelt out.
     opened = envelopes.select(
         "*",
-        P.text_as(data, "$", _payload_shape(EDGES_SHAPE)).alias("t"),
+        P.any_as(data, "$", P.in_binary(_payload_shape(EDGES_SHAPE))).alias("b"),
         P.any_as(data, "$", _payload_shape(EDGES_ANY_SHAPE)).alias("a"),
+    ).select(
+        *envelopes.columns,
+        "a",
+        F.struct(*[F.col(f"b.{n}").cast("string").alias(n) for n in _SCALARS]).alias("t"),
+        F.when(is_file, F.col("b.tables").cast(TABLES_SHAPE)).alias("tables"),
+        F.when(is_file, _joined("b", P.in_binary(EDGES_SHAPE)).cast(EDGES_SHAPE)).alias("edges"),
+        F.when(is_file, _joined("a", EDGES_ANY_SHAPE)).alias("edges_any"),
+        F.when(is_file, _array_starts("b")).alias("edge_starts"),
     )
 
     payload_reason = F.when(kind.isin(C.RUN_STARTED, C.FILE_EXTRACTION) & F.col("a").isNull(), "bad_payload")
@@ -159,9 +168,8 @@ def decode(envelopes: DataFrame) -> DataFrame:
             payload_reason = payload_reason.when(when & P.is_not_text(F.col(f"t.{n}"), F.col(f"a.{n}")), f"bad_text:{n}")
 
     odd_edges = F.lit(False)
-    for path, _ in EDGE_ARRAYS:
-        for n in EDGE_FIELDS:
-            odd_edges = odd_edges | _differs(F.col(f"t.{path}.{n}"), F.col(f"a.{path}.{n}"))
+    for n in EDGE_FIELDS:
+        odd_edges = odd_edges | _differs(F.col(f"edges.{n}"), F.col(f"edges_any.{n}"))
 
     judged = opened.withColumn("whole_reason", F.coalesce("reason", payload_reason))
     ok = F.col("whole_reason").isNull()
@@ -177,11 +185,11 @@ def decode(envelopes: DataFrame) -> DataFrame:
         F.col("whole_reason").alias("reason"),
         (F.col("reason").isNull() & (ok | ~kind.isin(C.RUN_STARTED, C.RUN_FAILED))).alias("makes_run"),
         F.when(ok & is_file, part(FILE_FIELDS)).alias("file"),
-        F.when(ok & is_file, F.col("t.tables")).alias("tables"),
-        F.when(ok & is_file & _differs(F.col("t.tables"), F.col("a.tables")), F.col("a.tables")).alias("tables_any"),
-        F.when(ok & is_file, _joined("t", EDGES_SHAPE)).alias("edges"),
-        F.when(ok & is_file & odd_edges, _joined("a", EDGES_ANY_SHAPE)).alias("edges_any"),
-        F.when(ok & is_file, _array_starts("t")).alias("edge_starts"),
+        F.when(ok, F.col("tables")).alias("tables"),
+        F.when(ok & is_file & _differs(F.col("tables"), F.col("a.tables")), F.col("a.tables")).alias("tables_any"),
+        F.when(ok, F.col("edges")).alias("edges"),
+        F.when(ok & odd_edges, F.col("edges_any")).alias("edges_any"),
+        F.when(ok, F.col("edge_starts")).alias("edge_starts"),
         F.when(ok & (kind == C.RUN_STARTED), part(STARTED_FIELDS)).alias("started"),
         F.when(
             ok & progress,

@@ -44,7 +44,7 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
 def read_table(spark: SparkSession, path: str, name: str, batches: bool = False) -> DataFrame:
     """A stored table; `batches` for one written by a stream, in directories by batch."""
     stated = schema(name)
-    return spark.read.schema(stated.add("batch_id", "bigint") if batches else stated).parquet(path)
+    return spark.read.schema(stated.add("batch_id", "long") if batches else stated).parquet(path)
 
 
 def kept(edges: DataFrame) -> DataFrame:

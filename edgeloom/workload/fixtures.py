@@ -6,6 +6,7 @@ Raw logs and the tables ingested from them are written once per session and data
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from edgeloom import constants as C
 from edgeloom.plans.ingest import ingest
 from edgeloom.session import tune, work_dir
 from edgeloom.sources.events import decode_lines, read_event_lines
+from edgeloom.streaming.ingest import read_stream_lake, start_ingest
+from edgeloom.streaming.log_tail import start_tail
 
 _built: dict[tuple, object] = {}
 
@@ -246,6 +249,46 @@ def run_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+# --- the same logs, landed piece by piece and streamed ------------------------------------------------------------
+
+LANDINGS = 3
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> dict[str, DataFrame]:
+    """Land the lines in the order of their sequence numbers, a few landings of many files each, and let the
+    incremental ingest follow: one micro-batch per landing, each continuing from the checkpoint of the last."""
+    tune(spark)
+    root = f"{place(spark, sf_dir, name)}_{uuid.uuid4().hex}"
+    last = lines.select(F.max("event_seq")).scalar()
+    placed = lines.withColumn("landing", F.floor(F.col("event_seq") * LANDINGS / (last + 1)).cast("int"))
+    for i in range(LANDINGS):
+        placed.filter(F.col("landing") == i).select("value").write.text(f"{root}/landing/{i}")
+        start_ingest(spark, f"{root}/landing/*", f"{root}/lake", f"{root}/checkpoint").awaitTermination()
+    return read_stream_lake(spark, f"{root}/lake")
+
+
+@once
+def streamed_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lines = read_event_lines(spark, file_log(spark, sf_dir))
+    seq = F.get_json_object("value", "$.event_seq").cast("bigint")
+    return streamed(spark, sf_dir, "streamed_files", lines.select(seq.alias("event_seq"), "value"))
+
+
+@once
+def streamed_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return streamed(spark, sf_dir, "streamed_runs", run_event_lines(spark, sf_dir))
+
+
+@once
+def streamed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log tail from 20 January on, as a stream over the events table."""
+    root = f"{place(spark, sf_dir, 'log_tail')}_{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    since = F.lit("2024-01-20T00:00:00").cast("timestamp_ntz")
+    start_tail(logs_of(rows), f"{root}/out", f"{root}/checkpoint", since).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 # --- tables that map directly -----------------------------------------------------------------------------------
 
 

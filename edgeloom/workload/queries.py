@@ -937,6 +937,54 @@ def lin_6(spark, sf):
     return LI.lineage_of_assets(lake["assets"], lake["lineage"])
 
 
+# --- streaming --------------------------------------------------------------------------------------------------
+
+
+@query(over("e", "SELECT lineage_id, run_id, from_short, from_full, to_short, to_full, edge_type, start_line, created_at FROM e"))
+def str_1(spark, sf):
+    return X.streamed_files(spark, sf)["lineage"].select(
+        "lineage_id", "run_id", "from_short", "from_full", "to_short", "to_full", "edge_type", "start_line", "created_at"
+    )
+
+
+@query(over("folded", "SELECT run_id, repository_url, branch, triggered_by, phase, started_at, finished_at FROM folded"))
+def str_2(spark, sf):
+    return X.streamed_runs(spark, sf)["extraction_runs"].select(
+        "run_id", "repository_url", "branch", "triggered_by", "phase", "started_at", "finished_at"
+    )
+
+
+@query(over("a", "SELECT * FROM a"))
+def str_2_assets(spark, sf):
+    return X.streamed_files(spark, sf)["assets"].drop("first_tie", "first_pos", "run_bucket", "batch_id")
+
+
+@query(over("col", "SELECT * FROM col"))
+def str_2_columns(spark, sf):
+    return X.streamed_files(spark, sf)["asset_columns"].drop("run_bucket", "batch_id")
+
+
+@query(over("logs", "SELECT log_id, run_id, log_level, message, log_time FROM logs WHERE log_time > TIMESTAMP '2024-01-20 00:00:00'"))
+def str_3(spark, sf):
+    return X.streamed_logs(spark, sf).select("log_id", "run_id", "log_level", "message", "log_time")
+
+
+@query(
+    over(
+        "x a",
+        """SELECT x.lineage_id, x.run_id, x.from_short, f.full_name AS from_full, x.to_short, t.full_name AS to_full
+FROM x JOIN a f ON f.run_id = x.run_id AND f.short_name = x.from_short
+JOIN a t ON t.run_id = x.run_id AND t.short_name = x.to_short WHERE x.skip_reason IS NOT NULL""",
+    )
+)
+def str_4(spark, sf):
+    """Edges that arrived before their tables, as the optional repair finds them."""
+    lake = X.lake(spark, sf)
+    return IE.repair_edges(lake["edges"], lake["assets"]).select(
+        "lineage_id", "run_id", "from_short", "from_full", "to_short", "to_full"
+    )
+
+
 # --- scalar functions over whole tables -------------------------------------------------------------------------
 
 
