@@ -110,7 +110,7 @@ def file_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (
         mentions(spark, sf_dir)
         .groupBy("run_id", "event_seq", "event_date", "file_path")
-        .agg(F.array_sort(F.collect_list(mention)).alias("m"), F.array_sort(F.collect_list(edge)).alias("e"))
+        .agg(F.sort_array(F.collect_list(mention)).alias("m"), F.sort_array(F.collect_list(edge)).alias("e"))
     )
 
     def edges_in(array_no: int) -> Column:
