@@ -14,7 +14,7 @@ from edgeloom.operators import ingest_edges as G
 from edgeloom.operators import ingest_files as FI
 from edgeloom.operators import ingest_runs as R
 from edgeloom.sources import events as EV
-from edgeloom.sources.tables import kept, read_table, write_table
+from edgeloom.sources.tables import at_once, kept, read_table, write_table
 
 TABLES = [
     "decoded", "extraction_runs", "job_status", "files", "assets", "asset_columns", "asset_files", "edges", "quarantine",
@@ -48,20 +48,21 @@ def ingest(
     EV.decode_lines(lines, replays).write.mode("overwrite").parquet(f"{out}/decoded")
     decoded = read_table(spark, f"{out}/decoded", "decoded")
 
-    write_table(
-        R.fold_runs(decoded, cancels, registered=registered), f"{out}/extraction_runs", "extraction_runs"
-    )
-    write_table(R.job_history(decoded, cancels, registered=registered), f"{out}/job_status", "job_status")
-    write_table(FI.file_records(decoded), f"{out}/files", "files")
+    def write(df: DataFrame, name: str):
+        return lambda: write_table(df, f"{out}/{name}", name)
 
     mentions = A.asset_mentions(decoded, short_name_mode)
-    write_table(A.first_assets(mentions), f"{out}/assets", "assets")
-    write_table(A.first_columns(A.column_mentions(mentions)), f"{out}/asset_columns", "asset_columns")
+    at_once(
+        write(A.first_assets(mentions), "assets"),
+        write(A.first_columns(A.column_mentions(mentions)), "asset_columns"),
+        write(R.fold_runs(decoded, cancels, registered=registered), "extraction_runs"),
+        write(R.job_history(decoded, cancels, registered=registered), "job_status"),
+        write(FI.file_records(decoded), "files"),
+        lambda: EV.quarantine(decoded).write.mode("overwrite").parquet(f"{out}/quarantine"),
+    )
 
     assets = read_table(spark, f"{out}/assets", "assets")
     write_edges(G.resolve_edges(G.edge_mentions(decoded), assets), f"{out}/edges")
-
     lineage = kept(read_table(spark, f"{out}/edges", "edges"))
     write_table(A.asset_links(mentions, lineage), f"{out}/asset_files", "asset_files")
-    EV.quarantine(decoded).write.mode("overwrite").parquet(f"{out}/quarantine")
     return read_lake(spark, out)

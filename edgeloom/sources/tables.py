@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def write_table(
     placed.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
+def at_once(*writes: Callable[[], None]) -> None:
+    """Run writes that do not need each other as concurrent Spark jobs; the first failure is raised."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(w) for w in writes]:
+            done.result()
+
+
 def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
     """Logs go in directories by day, so that retention drops whole directories."""
     placed = logs.hint("rebalance", "log_date").sortWithinPartitions("log_date", "run_id", "log_time")

@@ -19,7 +19,7 @@ from edgeloom.operators import ingest_files as FI
 from edgeloom.operators import ingest_runs as R
 from edgeloom.schemas import schema
 from edgeloom.sources import events as EV
-from edgeloom.sources.tables import kept, read_table, write_table
+from edgeloom.sources.tables import at_once, kept, read_table, write_table
 
 STORED = ["decoded", "run_facts", "job_status", "files", "assets", "asset_columns", "asset_files", "edges", "quarantine"]
 
@@ -42,8 +42,8 @@ def apply_batch(lines: DataFrame, batch_id: int, out: str, short_name_mode: str
     def mine(name: str) -> str:
         return f"{out}/{name}/batch_id={batch_id}"
 
-    def write(df: DataFrame, name: str, *partitions: str) -> None:
-        write_table(df, mine(name), name, partitions)
+    def write(df: DataFrame, name: str, *partitions: str):
+        return lambda: write_table(df, mine(name), name, partitions)
 
     # Events applied before are dropped: a replayed line changes nothing.
     seen = _stored(spark, out, "decoded", batch_id).select(*C.EVENT_KEY)
@@ -51,22 +51,23 @@ def apply_batch(lines: DataFrame, batch_id: int, out: str, short_name_mode: str
     fresh.write.mode("overwrite").parquet(mine("decoded"))
     decoded = read_table(spark, mine("decoded"), "decoded")
 
-    write(R.run_facts(decoded), "run_facts")
-    write(R.job_history(decoded), "job_status")
-    write(FI.file_records(decoded), "files")
-
     mentions = A.asset_mentions(decoded, short_name_mode)
     known = _stored(spark, out, "assets", batch_id).select("run_id", "short_name")
-    write(A.first_assets(mentions).join(known, ["run_id", "short_name"], "left_anti"), "assets")
     stored_columns = _stored(spark, out, "asset_columns", batch_id)
-    write(A.first_columns(A.column_mentions(mentions), stored_columns), "asset_columns")
+    at_once(
+        write(A.first_assets(mentions).join(known, ["run_id", "short_name"], "left_anti"), "assets"),
+        write(A.first_columns(A.column_mentions(mentions), stored_columns), "asset_columns"),
+        write(R.run_facts(decoded), "run_facts"),
+        write(R.job_history(decoded), "job_status"),
+        write(FI.file_records(decoded), "files"),
+        lambda: EV.quarantine(decoded).write.mode("overwrite").parquet(mine("quarantine")),
+    )
 
     assets = _stored(spark, out, "assets", batch_id + 1)
     resolved = G.resolve_edges(G.edge_mentions(decoded), assets)
-    write(resolved.withColumn("skipped", F.col("skip_reason").isNotNull()), "edges", "skipped")
+    write(resolved.withColumn("skipped", F.col("skip_reason").isNotNull()), "edges", "skipped")()
     lineage = kept(read_table(spark, mine("edges"), "edges"))
-    write(A.asset_links(mentions, lineage), "asset_files")
-    EV.quarantine(decoded).write.mode("overwrite").parquet(mine("quarantine"))
+    write(A.asset_links(mentions, lineage), "asset_files")()
 
 
 def start_ingest(

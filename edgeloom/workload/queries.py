@@ -142,19 +142,17 @@ def snk_2(spark, sf):
     )
     nodes = opened.select("direction", "entity_id", F.col("j.entityName").alias("entity_name"), F.explode("j.lineage").alias("n"))
     steps = nodes.select("direction", "entity_id", "entity_name", "n.entityId", "n.entityName", F.explode("n.transformations").alias("t"))
-    # The full name of a neighbour cut into parts comes from the first edge of each part; the first part wins.
-    named = LI.neighbours(lake["assets"], lake["lineage"]).select("direction", "entity_id", "neighbor", "neighbor_full")
-    flat = steps.select(
+    return steps.select(
         "direction",
         "entity_id",
         "entity_name",
         F.col("entityId").alias("neighbor"),
+        F.col("entityName").alias("neighbor_full"),
         F.col("t.fileId").alias("file_id"),
         "t.transformation_type",
         "t.lines.start_line",
         "t.lines.end_line",
     )
-    return flat.join(named, ["direction", "entity_id", "neighbor"])
 
 
 # --- event decoding and routing ---------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"},
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
