@@ -13,6 +13,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from edgeloom.llm.packing import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.drop("row_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.url_filter import judge_urls
 
@@ -20,9 +28,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from edgeloom.llm.sentencepiece_codec import encode_documents, read_model
+
+    model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_documents(table(spark, sf_dir, "documents"), model, outputs=False)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_url_filter": op6_url_filter,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 SQL: dict[str, str] = {}
