@@ -72,26 +72,36 @@ def write_shards(
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def with_slots(written: DataFrame) -> DataFrame:
-    """Add `slot`, the gapless place of a row in its shard: buckets follow one another."""
+def with_slots(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """Add `slot`, the gapless place in its shard, to rows of what was written: buckets follow one another.
+
+    `rows` may hold fewer or derived columns beside shard, bucket and pos, so that records need not move again.
+    """
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
         "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    return written.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("pos")).drop("start")
+    return rows.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("pos")).drop("start")
 
 
 def shard_digest(docs: DataFrame, shards: int = 40, seed: int = 7, **options) -> DataFrame:
     """Shard the documents and describe each written record: size, checksum, shard, slot, shard with one more."""
-    path = scratch_path(docs.sparkSession, "shards")
-    written = with_slots(write_shards(docs, path, shards, seed=seed, **options))
+    written = write_shards(docs, scratch_path(docs.sparkSession, "shards"), shards, seed=seed, **options)
     doc_id, text = F.col("record.doc_id"), F.col("record.text")
-    return written.select(
+    described = written.select(
+        "shard",
+        "bucket",
+        "pos",
         doc_id.alias("doc_id"),
         record_size(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    return with_slots(described, written).select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("key").alias("law"),
         "shard",
         "slot",
-        shard_of(doc_id, shards + 1, seed).alias("grown_shard"),
+        shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
     )
