@@ -13,6 +13,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.lm_scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from edgeloom.llm.packing import pack_documents
@@ -21,6 +27,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("row_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.url_filter import judge_urls
 
@@ -38,7 +50,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_hmm_scoring": op2_hmm_scoring,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
     "op6_url_filter": op6_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
 }
