@@ -15,6 +15,7 @@ are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,7 @@ class ByteBpe:
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already fill the cores
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = SegmentCache(self._batch)

@@ -14,7 +14,7 @@ import numpy as np
 class SegmentCache:
     """Ids of segments, as little-endian 32-bit numbers. A cache of `limit` segments starts anew, so memory is bounded."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], limit: int = 800_000):
+    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000):
         self.encode_batch, self.limit = encode_batch, limit
         self.known: dict[str, bytes] = {}
 
