@@ -48,6 +48,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model, outputs=False)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_hmm_scoring": op2_hmm_scoring,
@@ -55,6 +61,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_url_filter": op6_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 SQL: dict[str, str] = {}
