@@ -16,6 +16,7 @@ repeated rows are judged each; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -216,42 +217,65 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, usable, settings: Crf
     return [(r.text, r.lang) for r in chosen.orderBy("lang", "rank").select("text", "lang").limit(settings.sample).collect()]
 
 
-def tag_documents(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
-    """Language and score of each whole text; with `spans` also its stretches of one language."""
-    import pickle
-
+def _tagging(docs: DataFrame, crf: Crf):
+    """A function from texts to (language, score, labels of the words) each, for use in tasks."""
     definition = pickle.dumps(crf)
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # of fixed size: the field grows with its settings only
+
+    def tag(texts: list[str | None]) -> list[tuple[str, float, np.ndarray | None]]:
+        tagger = kept(shared.value, lambda: Tagger(pickle.loads(shared.value)))
+        out: list = [(UNDETERMINED, 0.0, None)] * len(texts)
+        if not crf_languages:
+            return out
+        for i, words, gamma in tagger.posteriors([t or "" for t in texts]):
+            own = gamma[words > 0]
+            if len(own):
+                mean = own.mean(axis=0)
+                best = int(mean.argmax())
+                out[i] = (crf_languages[best], min(1.0, float(mean[best])), gamma)
+        return out
+
+    crf_languages = crf.languages
+    return tag
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def tag_documents(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
+    """Language and score of each whole text; with `spans` also its stretches of one language."""
+    tag, languages = _tagging(docs, crf), crf.languages
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = kept(shared.value, lambda: Tagger(pickle.loads(shared.value)))
-        languages = tagger.crf.languages
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-                found: list = [[] for _ in texts]
-                if languages:
-                    for i, words, gamma in tagger.posteriors(texts):
-                        own = gamma[words > 0]
-                        if len(own):
-                            mean = own.mean(axis=0)
-                            best = int(mean.argmax())
-                            pred[i], score[i] = languages[best], min(1.0, float(mean[best]))
-                            if spans:
-                                found[i] = spans_of(gamma.argmax(axis=1), languages)
-                arrays = [batch.column(0), pa.array(pred), pa.array(score)]
-                names = ["doc_id", "lang_pred", "score"]
-                if spans:
-                    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                    arrays, names = [*arrays, pa.array(found, kind)], [*names, "spans"]
-                yield pa.record_batch(arrays, names=names)
+        for batch in _slices(batches):
+            found = tag(batch.column(1).to_pylist())
+            arrays = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            names = ["doc_id", "lang_pred", "score"]
+            if spans:
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+                arrays.append(pa.array([[] if g is None else spans_of(g.argmax(axis=1), languages) for _, _, g in found], kind))
+                names.append("spans")
+            yield pa.record_batch(arrays, names=names)
 
     return docs.select(column(docs, key).cast("long"), column(docs, text)).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, unchanged, whose text has a language with a score of at least `least`."""
+    tag = _tagging(docs, crf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = tag(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_on_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", settings: CrfSettings = CrfSettings()) -> Crf:
     """Fit on a bounded choice of the documents that are not held out."""
     return fit(labelled_sample(docs, text, lang, ~held_out(docs, key), settings), settings)

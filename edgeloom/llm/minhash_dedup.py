@@ -282,3 +282,15 @@ def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings
     return sketched.join(named, ["h1", "h2", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, settings: MinHashSettings = MinHashSettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, unchanged, without near duplicates: of each group the one with the smallest id stays.
+
+    Rows of one id are one document, of which one row stays; rows without an id or without words all stay.
+    """
+    found = near_duplicates(docs, settings, key, text)
+    name = "_" * max(map(len, docs.columns)) + "id"
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone, column(docs, key).cast("long") == gone[name], "left_anti")
+    return left.filter(column(left, key).isNotNull()).dropDuplicates([key]).union(left.filter(column(left, key).isNull()))

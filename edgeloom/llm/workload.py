@@ -47,6 +47,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.line_dedup import remove_common_lines
+
+    cut = remove_common_lines(table(spark, sf_dir, "documents"), count="removed_lines")
+    return cut.select("doc_id", "removed_lines", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from edgeloom.llm.sentencepiece_codec import encode_documents, read_model
@@ -74,6 +81,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_voronoi_topk": op5_voronoi_topk,
     "op6_url_filter": op6_url_filter,
+    "op7_line_dedup": op7_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
