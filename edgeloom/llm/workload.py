@@ -87,4 +87,45 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-SQL: dict[str, str] = {}
+_FINITE = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+#: What SQL can say: exact search, exact similarity of shingle sets and of vectors, and the components of their links.
+#: The other operators train models, draw random orders or align texts; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op5_voronoi_topk": f"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+            FROM embeddings WHERE len(embedding) > 0 AND {_FINITE}
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_minhash_dedup": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+        ), n AS (SELECT doc_id, len(s) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS x FROM s
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+        ), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+        SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+            doc_id = least(doc_id, coalesce(m, doc_id)) AS kept FROM n LEFT JOIN m ON a = doc_id""",
+    "op10_embedding_dedup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND {_FINITE} AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        m AS (SELECT a, min(b) AS m FROM r GROUP BY a), c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+            vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+        FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+}
