@@ -115,7 +115,7 @@ def fit(texts: list[tuple[str, str]], settings: CrfSettings = CrfSettings()) ->
         for word, times in seen.items():
             if times > 1:
                 lexicons.setdefault(word, []).append(i)
-    crf = Crf(languages, np.zeros((settings.width + n + 1, n)), lexicons, np.full(n, 1 / n), np.full((n, n), 1.0), settings)
+    crf = Crf(languages, np.zeros((settings.width + n + 1, n)), lexicons, np.full(n, 1 / max(n, 1)), np.ones((n, n)), settings)
     if n < 2:
         return crf
 

@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings
     named = classes.select("h1", "h2", "n_shingles", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return sketched.join(named, ["h1", "h2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -291,6 +291,6 @@ def one_of_each_group(docs: DataFrame, settings: MinHashSettings = MinHashSettin
     """
     found = near_duplicates(docs, settings, key, text)
     name = "_" * max(map(len, docs.columns)) + "id"
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    gone = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
     left = docs.join(gone, column(docs, key).cast("long") == gone[name], "left_anti")
     return left.filter(column(left, key).isNotNull()).dropDuplicates([key]).union(left.filter(column(left, key).isNull()))
