@@ -6,7 +6,8 @@ byte fallback. Batches of distinct segments are encoded by the library, which us
 
 A text is cut before each run of metaspaces that follows another character. No piece of the model may hold a metaspace
 after another character (checked on loading), so no piece crosses such a cut and the ids are those of the whole text;
-a byte-pair model with other pieces, and any unigram model, is encoded text by text.
+a byte-pair model with other pieces, and any unigram model, is encoded text by text. The library's unigram model takes
+a text that spells out the name of a byte piece for that piece; parity is false there.
 
 Parity: each distinct segment that a worker meets is encoded by the SentencePiece library as well, and `parity` says
 whether all segments of a text agree. Round trip: `decoded` is the text from the ids.
@@ -143,7 +144,9 @@ class Codec:
         self.model = m = SentencePieceModel.parse(model_bytes)
         self.other = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         if m.model_type == UNIGRAM:
-            core = models.Unigram(list(zip(m.pieces, m.scores, strict=True)), m.unk_id, m.byte_fallback)
+            # Control pieces never stand for text: their names get a mark that no text should hold.
+            names = [p if t not in (CONTROL, UNKNOWN) else "\U0010ffff" + p for p, t in zip(m.pieces, m.types, strict=True)]
+            core = models.Unigram(list(zip(names, m.scores, strict=True)), m.unk_id, m.byte_fallback)
         elif m.model_type == BPE:
             vocabulary = {p: i for i, p in enumerate(m.pieces)}
             core = models.BPE(vocabulary, m.merges(), unk_token=m.pieces[m.unk_id], fuse_unk=True, byte_fallback=m.byte_fallback)

@@ -12,8 +12,8 @@ of its cells. Tasks then solve a group of queries against a block of data by int
 and the k best of each block meet in a final ranking.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do vectors whose length
-is not the most frequent one; ties go to the smaller vec_id, repeated rows are candidates each (a query's own row is left
-out by its vec_id); with fewer than k candidates all are given; an empty table gives an empty result; other columns are
+is not the most frequent one; ties go to the smaller vec_id, repeated rows are candidates each (rows with a query's own
+vec_id are left out), and of query rows with one vec_id the one with the smallest vector asks; with fewer than k candidates all are given; an empty table gives an empty result; other columns are
 not read.
 """
 
@@ -174,7 +174,8 @@ def top_k(
         return F.element_at(F.array(*[F.lit(value(unit_of[c]) if c in unit_of else 1) for c in cells]), F.col("cell") + 1)
 
     slot = by_cell(lambda u: u.first) + F.pmod(F.xxhash64("at"), by_cell(lambda u: u.parts))
-    asked = placed.filter("query").withColumn("grp", slot.cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    one = placed.filter("query").groupBy("vec_id").agg(F.min(F.struct("q", "cell", "at")).alias("x"))
+    asked = one.select("vec_id", "x.*", F.lit(True).alias("query")).withColumn("grp", slot.cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     plan = spark.createDataFrame(
         [(j, [(float(min(least[i, j] for i in u.cells)), u.first, u.parts) for u in units]) for j in cells],

@@ -78,9 +78,14 @@ def rule_verdict(rule: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def grams(text: Column, mark: str, n: int) -> Column:
     """Character n-grams of a text with its ends marked, each with the mark of its part."""
+
+    def of(signs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(signs)), lambda i: i + (n - 1) <= F.size(signs))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.element_at(signs, i + k) for k in range(n)]))
+
+    # A list in a list: the text is split once and bound to a name, not split again for each n-gram.
     signs = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(signs) - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.size(signs))
-    return F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.element_at(signs, i + k) for k in range(n)]))
+    return F.element_at(F.transform(F.array(signs), of), 1)
 
 
 def features(host: Column, path: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
