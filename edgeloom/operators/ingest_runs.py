@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +127,25 @@ def _with_request_defaults(requests: DataFrame) -> DataFrame:
     return filled.withColumn("reject_reason", reason)
 
 
-def judge_cancels(cancels: DataFrame, decoded: DataFrame, guarded: bool = False) -> DataFrame:
+def judge_cancels(
+    cancels: DataFrame, decoded: DataFrame, guarded: bool = False, registered: DataFrame | None = None
+) -> DataFrame:
     """Each cancel request (`run_id, event_seq, event_tie, event_time`) with its `outcome`.
 
-    A run must exist when the request arrives. The guarded form also refuses a run that has ended by then, be it
-    by an event or by an earlier cancel.
+    A run must exist when the request arrives: by an event, or because it was registered, which comes before all
+    events. The guarded form also refuses a run that has ended by then, be it by an event or by an earlier cancel.
     """
     phase_event = F.col("reason").isNull() & F.col("event_type").isin(C.RUN_COMPLETED, C.RUN_FAILED)
     known = decoded.groupBy("run_id").agg(
         F.min(F.when(F.col("makes_run"), K.arrival())).alias("born"),
         F.min(F.when(phase_event, K.arrival())).alias("ended"),
     )
-    judged = cancels.join(known, "run_id", "left").withColumn(
-        "outcome", F.when(F.col("born").isNull() | (K.arrival() < F.col("born")), "unknown_run").otherwise("applied")
-    )
+    judged = cancels.join(known, "run_id", "left").withColumn("is_registered", F.lit(False))
+    if registered is not None:
+        named = registered.select("run_id", F.lit(True).alias("named")).distinct()
+        judged = judged.join(named, "run_id", "left").withColumn("is_registered", F.coalesce("named", F.lit(False)))
+    unborn = ~F.col("is_registered") & (F.col("born").isNull() | (K.arrival() < F.col("born")))
+    judged = judged.withColumn("outcome", F.when(unborn, "unknown_run").otherwise("applied"))
     if guarded:
         first_cancel = (
             judged.filter("outcome = 'applied'").groupBy("run_id").agg(F.min(K.arrival()).alias("first_cancel"))
@@ -166,7 +173,7 @@ def fold_runs(
     """Events, and cancel requests as one more kind of event, to run rows."""
     facts = run_facts(decoded)
     if cancels is not None:
-        extra = cancel_facts(judge_cancels(cancels, decoded, guarded))
+        extra = cancel_facts(judge_cancels(cancels, decoded, guarded, registered))
         facts = merge_run_facts(facts.unionByName(extra, allowMissingColumns=True))
     return runs_from_facts(facts, registered)
 
@@ -217,10 +224,26 @@ def job_history(
         F.col("event_time").alias("last_updated"),
         F.inline(rows),
     )
+    asked = _request_parts(decoded, cancels, guarded, registered)
+    return _job_rows(parts if asked is None else parts.unionByName(asked, allowMissingColumns=True))
+
+
+def request_jobs(
+    decoded: DataFrame, cancels: DataFrame | None = None, guarded: bool = False, registered: DataFrame | None = None
+) -> DataFrame | None:
+    """The job rows that requests bring, without those of events: one per registration and applied cancel."""
+    asked = _request_parts(decoded, cancels, guarded, registered)
+    return None if asked is None else _job_rows(asked)
+
+
+def _request_parts(
+    decoded: DataFrame, cancels: DataFrame | None, guarded: bool, registered: DataFrame | None
+) -> DataFrame | None:
+    parts = []
     if cancels is not None:
-        applied = judge_cancels(cancels, decoded, guarded).filter("outcome = 'applied'")
+        applied = judge_cancels(cancels, decoded, guarded, registered).filter("outcome = 'applied'")
         error = F.lit(C.CANCEL_ERROR) if guarded else F.lit(None).cast("string")
-        parts = parts.unionByName(
+        parts.append(
             applied.select(
                 *C.EVENT_KEY,
                 F.col("event_time").alias("last_updated"),
@@ -228,11 +251,10 @@ def job_history(
                 F.lit(C.FAILED).alias("status"),
                 F.lit("cancelled").alias("current_phase"),
                 error.alias("last_error"),
-            ),
-            allowMissingColumns=True,
+            )
         )
     if registered is not None:
-        parts = parts.unionByName(
+        parts.append(
             registered.select(
                 "run_id",
                 F.lit(-1).cast("bigint").alias("event_seq"),
@@ -241,9 +263,16 @@ def job_history(
                 F.lit(0).alias("sub_seq"),
                 F.lit(C.RUNNING).alias("status"),
                 F.lit("initialized").alias("current_phase"),
-            ),
-            allowMissingColumns=True,
+                F.lit(None).cast("string").alias("last_error"),
+            )
         )
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _job_rows(parts: DataFrame) -> DataFrame:
+    """Job rows with their ids and defaults; columns that `parts` lacks are null or 0."""
+    kinds = {"pod_id": "string", "current_file": "string", "total_files": "int", "processed_files": "int", "error_count": "int"}
+    parts = parts.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items() if n not in parts.columns})
     zero = F.lit(0)
     nothing = F.lit(None).cast("decimal(10,2)")
     return (

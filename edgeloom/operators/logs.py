@@ -44,8 +44,12 @@ def logs_after_retention(logs: DataFrame, cutoff: Column) -> DataFrame:
 def log_answer(
     logs: DataFrame, page_no: int = 0, size: int = C.LOG_PAGE, since: Column | None = None, ids: Ids = None
 ) -> DataFrame:
-    """The log view of each run: lines after `since` if it is given, else one page; the total counts all lines."""
-    lines = logs_since(logs, since, ids) if since is not None else log_page(logs, page_no, size, ids).drop("rn", "total")
-    return lines.join(count_logs(logs, ids), "run_id").select(
-        *logs.columns, "total", F.lit(page_no).alias("page"), F.lit(size).alias("size")
-    )
+    """The log view of each run, in order: lines after `since`, oldest first, if it is given, else one page, newest
+    first; the total counts all lines."""
+    if since is not None:
+        after, order = pick(logs.filter(F.col("log_time") > since), "run_id", ids), list(_NEWEST)
+        lines = after.join(count_logs(logs, ids), "run_id")
+    else:
+        lines, order = log_page(logs, page_no, size, ids).drop("rn"), [F.desc(c) for c in _NEWEST]
+    answer = lines.select(*logs.columns, "total", F.lit(page_no).alias("page"), F.lit(size).alias("size"))
+    return answer.orderBy("run_id", *order)

@@ -38,9 +38,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. Only a session that names none (tests) gets a folder of its own."""
+    """The shared folder the cluster names. Only a local session that names none (tests) gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="edgeloom-")
         _own_dirs[spark.sparkContext.applicationId] = named
     return named.rstrip("/")

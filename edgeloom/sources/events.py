@@ -95,14 +95,20 @@ def parse_envelope(lines: DataFrame) -> DataFrame:
 
 
 def drop_replays(envelopes: DataFrame) -> DataFrame:
-    """One row per event key. A replayed line repeats the key; the first in text order is kept.
+    """Replays go, and one usable row stays per event key.
 
-    The rank is limited before the shuffle as well, so a key replayed very often sends one row per task.
-    Unusable lines have no dependable key: they are told apart by their text.
+    Only a line that repeats key and text is a replay. Another text under a key in use is no replay: the first in text
+    order is the event, the others stay with the reason `key_conflict`. Unusable lines have no dependable key: they are
+    told apart by their text. Replays are limited before the first shuffle as well, so a line replayed very often sends
+    one row per task; what the second shuffle brings together under a key differs in text.
     """
     own_text = F.when(F.col("reason").isNotNull(), F.col("line"))
-    w = Window.partitionBy(*C.EVENT_KEY, own_text).orderBy("line")
-    return envelopes.withColumn("copy", F.row_number().over(w)).filter("copy = 1").drop("copy")
+    same = Window.partitionBy(*C.EVENT_KEY, "line").orderBy("line")
+    once = envelopes.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    at_key = Window.partitionBy(*C.EVENT_KEY, own_text).orderBy("line")
+    place = F.row_number().over(at_key)
+    ranked = once.withColumn("copy", place)
+    return ranked.withColumn("reason", F.when(F.col("copy") > 1, "key_conflict").otherwise(F.col("reason"))).drop("copy")
 
 
 def _joined(form: str, shape: str) -> Column:

@@ -45,9 +45,11 @@ def apply_batch(lines: DataFrame, batch_id: int, out: str, short_name_mode: str
     def write(df: DataFrame, name: str, *partitions: str):
         return lambda: write_table(df, mine(name), name, partitions)
 
-    # Events applied before are dropped: a replayed line changes nothing.
-    seen = _stored(spark, out, "decoded", batch_id).select(*C.EVENT_KEY)
-    fresh = EV.decode_lines(lines).join(seen, C.EVENT_KEY, "left_anti")
+    # What was applied before is dropped: a replayed event by its key, a refused line by its text too (`line` is null
+    # for events in use). So a line that was refused and comes again corrected under its key is new.
+    seen = _stored(spark, out, "decoded", batch_id).select(*[F.col(c).alias(f"seen_{c}") for c in (*C.EVENT_KEY, "line")])
+    same = [F.col(c).eqNullSafe(F.col(f"seen_{c}")) for c in (*C.EVENT_KEY, "line")]
+    fresh = EV.decode_lines(lines).join(seen, same, "left_anti")
     fresh.write.mode("overwrite").parquet(mine("decoded"))
     decoded = read_table(spark, mine("decoded"), "decoded")
 
@@ -99,7 +101,9 @@ def read_stream_lake(
     tables["lineage"] = kept(tables["edges"])
     facts = tables["run_facts"].drop("run_bucket", "batch_id")
     if cancels is not None:
-        extra = R.cancel_facts(R.judge_cancels(cancels, tables["decoded"]))
+        extra = R.cancel_facts(R.judge_cancels(cancels, tables["decoded"], registered=registered))
         facts = facts.unionByName(extra, allowMissingColumns=True)
+    asked = R.request_jobs(tables["decoded"], cancels, registered=registered)
+    tables["job_status"] = tables["job_status"] if asked is None else tables["job_status"].unionByName(asked, allowMissingColumns=True)
     tables["extraction_runs"] = R.runs_from_facts(R.merge_run_facts(facts), registered)
     return tables

@@ -986,19 +986,29 @@ def str_4(spark, sf):
 # --- scalar functions over whole tables -------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, trim(text, concat(' ', chr(9), chr(10), chr(13))) = '' AS blank FROM documents")
+@query("""
+SELECT doc_id, doc_id % 7 = 0 OR doc_id % 5 = 0 OR trim(text, concat(' ', chr(9), chr(10), chr(13))) = '' AS blank FROM documents""")
 def fn_1(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", T.is_blank(F.col("text")).alias("blank"))
+    """Whole texts, with null and padding alone in the place of some."""
+    text = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 5 == 0, " \t\r\n").otherwise(F.col("text"))
+    return X.table(spark, sf, "documents").select("doc_id", T.is_blank(text).alias("blank"))
 
 
 @query("SELECT page_id, array_reverse(string_split(rtrim(url, '.'), '.'))[1] AS last_part FROM pages")
 def fn_2(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", T.short_name(F.col("url")).alias("last_part"))
+    """Whole urls, with none to two dots at their ends."""
+    url = F.concat("url", F.repeat(F.lit("."), (F.col("page_id") % 3).cast("int")))
+    return X.table(spark, sf, "pages").select("page_id", T.short_name(url).alias("last_part"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^(.*)\\.[^.]*$', 1) AS schema_name FROM pages")
+@query(f"""
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '{C.UNKNOWN_SCHEMA}' ELSE regexp_extract(url, '^(.*)\\.[^.]*$', 1) END AS schema_name
+FROM pages""")
 def fn_3(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", T.schema_of_name(F.col("url")).alias("schema_name"))
+    """Whole urls: some without a dot, some with dots at their ends."""
+    n = F.col("page_id") % 4
+    url = F.when(n == 0, F.translate("url", ".", "-")).when(n == 1, F.concat("url", F.lit(".."))).otherwise(F.col("url"))
+    return X.table(spark, sf, "pages").select("page_id", T.schema_of_name(url).alias("schema_name"))
 
 
 @query("""
@@ -1021,7 +1031,8 @@ def fn_4(spark, sf):
 
 @query("SELECT conv_id, turn, lower(trim(text, concat(' ', chr(9), chr(10), chr(13)))) AS text FROM conversations")
 def fn_5(spark, sf):
-    return X.table(spark, sf, "conversations").select("conv_id", "turn", T.trim_lower(F.col("text")).alias("text"))
+    padded = F.concat(F.lit("\t "), "text", F.lit(" \r\n"))
+    return X.table(spark, sf, "conversations").select("conv_id", "turn", T.trim_lower(padded).alias("text"))
 
 
 @query("SELECT doc_id, contains(lower(text), 'th_') AS has_mark, contains(lower(text), 'the') AS has_word FROM documents")
@@ -1048,16 +1059,25 @@ def fn_7(spark, sf):
 
 @query("""
 SELECT c_custkey, concat(substr(c_name, 1, 3), '***', right(c_name, 3)) AS masked_name,
-  CASE WHEN length(c_mktsegment) < 9 THEN '***' ELSE '***' END AS masked_short
+  CASE WHEN length(c_mktsegment) < 6 THEN '***' ELSE concat(left(c_mktsegment, 3), '***', right(c_mktsegment, 3)) END AS masked_segment
 FROM customer""")
 def fn_8(spark, sf):
     return X.table(spark, sf, "customer").select(
         "c_custkey",
         T.mask_secret(F.col("c_name")).alias("masked_name"),
-        T.mask_secret(F.substring("c_mktsegment", 1, 5)).alias("masked_short"),
+        T.mask_secret(F.col("c_mktsegment")).alias("masked_segment"),
     )
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN length(o_orderpriority) < 6 THEN '***'
+  ELSE concat(left(o_orderpriority, 3), '***', right(o_orderpriority, 3)) END AS masked
+FROM orders""")
+def fn_8_short(spark, sf):
+    """Priorities are short and long."""
+    return X.table(spark, sf, "orders").select("o_orderkey", T.mask_secret(F.col("o_orderpriority")).alias("masked"))
+
+
 @query("""
 SELECT l_orderkey, n, least(40, n) AS first_row, least(least(40, n) + 20, n) AS stop_row, CAST(ceil(n / 20.0) AS BIGINT) AS pages
 FROM (SELECT l_orderkey, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY l_orderkey)""")

@@ -165,3 +165,11 @@ def test_lines_without_sequence_are_ordered_by_time(spark):
     t = ingested(spark, late, early, late)
     assert rows(t["assets"], "schema_name") == [("early",)]
     assert t["decoded"].count() == 2
+
+
+def test_another_event_under_a_key_in_use_is_set_aside(spark):
+    """Equal text is a replay; other text is not, and may not vanish."""
+    first, other = file_event("r", 1, fileHash="a"), file_event("r", 1, fileHash="b")
+    d = decoded(spark, first, other, first, other)
+    assert sorted(r.reason or "" for r in d.collect()) == ["", "key_conflict"]
+    assert rows(EV.quarantine(d), "item", "reason", "line") == [("event", "key_conflict", max(first, other))]

@@ -120,3 +120,23 @@ def test_facts_of_batches_merge(spark):
     as_text = [c if c != "stats" else F.to_json("stats").alias("stats") for c in whole.columns]
     assert rows(merged.select(as_text), "*") == rows(whole.select(as_text), "*")
     assert json.loads(rows(whole.select(as_text).filter("run_id = 'c'"), "stats")[0][0]) == {"n": 2}
+
+
+def test_cancel_of_a_registered_run_before_its_first_event(spark):
+    """The usual cancel: asked for, registered, stopped before anything came. Only the unregistered run is unknown."""
+    requests = spark.createDataFrame(
+        [("new", "repo", None, None, None, None)],
+        "run_id string, repository_url string, branch string, commit_hash string, run_mode string, triggered_by string",
+    ).withColumn("requested_at", F.lit("2024-01-01T00:00:00").cast("timestamp_ntz"))
+    registered = R.register_runs(requests)
+    asked = cancels(spark, ("new", 5), ("nobody", 5))
+    d = decoded(spark, start("other", 1))
+    judged = R.judge_cancels(asked, d, registered=registered)
+    assert rows(judged, "run_id", "outcome") == [("new", "applied"), ("nobody", "unknown_run")]
+    runs = R.fold_runs(d, asked, registered=registered)
+    assert rows(runs, "run_id", "phase") == [("new", "FAILED"), ("other", "STARTED")]
+    jobs = R.job_history(d, asked, registered=registered).filter("run_id = 'new'")
+    assert rows(jobs, "event_seq", "status", "current_phase") == [(-1, "RUNNING", "initialized"), (5, "FAILED", "cancelled")]
+    only = R.request_jobs(d, asked, registered=registered)
+    assert rows(only, *only.columns) == rows(jobs, *only.columns)
+    assert R.request_jobs(d) is None

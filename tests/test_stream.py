@@ -91,3 +91,17 @@ def test_container_logs_and_tail(spark, tmp_path):
     future = F.lit(dt.datetime(2100, 1, 1)).cast("timestamp_ntz")
     start_tail(CL.stream_container_logs(spark, str(logs)), str(tmp_path / "none"), str(tmp_path / "cp2"), future).awaitTermination()
     assert spark.read.schema(got.schema).parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_a_corrected_event_is_new_and_a_repeated_bad_line_is_not(spark, tmp_path):
+    from edgeloom.streaming.ingest import apply_batch, prepare
+    from tests.helpers import file_event
+
+    out = str(tmp_path / "out")
+    prepare(spark, out)
+    bad, good = file_event("r", 1).replace("2024-01-01T10:00:00", "no time"), file_event("r", 1)
+    for batch_id, texts in ((0, [bad]), (1, [good, bad]), (2, [good])):
+        apply_batch(spark.createDataFrame([(t,) for t in texts], "value string"), batch_id, out)
+    tables = read_stream_lake(spark, out)
+    assert tables["files"].count() == 1
+    assert rows(tables["quarantine"], "reason") == [("bad_timestamp",)]
