@@ -19,7 +19,7 @@ from edgeloom.llm.packing import pack_documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go, and those whose best language scores under one half."""
+    """Documents with a language: those without a letter go, and those in which no language has a mean of 0.3."""
     return accepted(docs, fit_on_documents(docs))
 
 

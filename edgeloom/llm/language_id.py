@@ -264,7 +264,7 @@ def tag_documents(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "t
     return docs.select(column(docs, key).cast("long"), column(docs, text)).mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows, unchanged, whose text has a language with a score of at least `least`."""
     tag = _tagging(docs, crf)
 
