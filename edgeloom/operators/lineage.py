@@ -2,7 +2,7 @@
 
 Each edge is seen from both of its ends: as an upstream answer for its target and as a downstream answer for its
 source. Groups are reduced by aggregates that combine before the shuffle; centres are joined to the reduced rows.
-The answer to a question is a set of flat rows; nesting is a last step that cuts large answers into parts.
+The answer to a question is a set of flat rows; nesting is a last step at a grain of its own.
 """
 
 from __future__ import annotations

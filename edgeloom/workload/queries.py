@@ -130,7 +130,7 @@ FROM tr JOIN nb ON nb.direction = tr.direction AND nb.entity_id = tr.entity_id A
     )
 )
 def snk_2(spark, sf):
-    """Nested JSON answers, opened again: whatever the parts, all members are there once."""
+    """Nested JSON answers, opened again: all transformations are there once."""
     lake = X.lake(spark, sf)
     answers = NE.answers_as_json(NE.lineage_answers(lake["assets"], lake["lineage"]))
     step = "fileId STRING, transformation_type STRING, lines STRUCT<start_line INT, end_line INT>"
@@ -138,9 +138,9 @@ def snk_2(spark, sf):
     opened = answers.select(
         "direction",
         "entity_id",
-        F.from_json("answer", f"entityName STRING, lineage ARRAY<STRUCT<{node}>>").alias("j"),
+        F.from_json("answer", f"entityName STRING, lineage STRUCT<{node}>").alias("j"),
     )
-    nodes = opened.select("direction", "entity_id", F.col("j.entityName").alias("entity_name"), F.explode("j.lineage").alias("n"))
+    nodes = opened.select("direction", "entity_id", F.col("j.entityName").alias("entity_name"), F.col("j.lineage").alias("n"))
     steps = nodes.select("direction", "entity_id", "entity_name", "n.entityId", "n.entityName", F.explode("n.transformations").alias("t"))
     return steps.select(
         "direction",
@@ -897,36 +897,39 @@ def lin_4(spark, sf):
     return LI.column_lineage(lake["assets"], lake["lineage"])
 
 
-@query(
-    over(
-        "c nb tr cp",
-        """SELECT d.direction, c.short_name AS entity_id, c.full_name AS entity_name,
-  (SELECT count(*) FROM tr WHERE tr.direction = d.direction AND tr.entity_id = c.short_name) AS n_transformations,
-  (SELECT count(*) FROM nb WHERE nb.direction = d.direction AND nb.entity_id = c.short_name) AS n_neighbours,
-  (SELECT count(*) FROM cp WHERE cp.direction = d.direction AND cp.entity_id = c.short_name) AS n_pairs
-FROM c, (VALUES ('upstream'), ('downstream')) AS d(direction)""",
-    )
-)
+@query(over("cp", "SELECT * FROM cp"))
 def lin_5(spark, sf):
-    """The nested answers of all entities, measured: every neighbour, transformation and pair is in some part."""
+    """The nested answers of all entities: the members of their column pairs."""
     lake = X.lake(spark, sf)
-    parts = NE.lineage_answers(lake["assets"], lake["lineage"])
-    per_part = parts.select(
+    answers = NE.lineage_answers(lake["assets"], lake["lineage"]).filter(F.col("item") == NE.PAIR)
+    up, down = F.col("fineGrainedLineages.upstreams")[0], F.col("fineGrainedLineages.downstreams")[0]
+    step = up["transformation"]
+    return answers.select(
         "direction",
         F.col("entityId").alias("entity_id"),
-        F.col("entityName").alias("entity_name"),
-        F.transform("lineage", lambda n: n["entityId"]).alias("names"),
-        F.aggregate("lineage", F.lit(0).cast("bigint"), lambda acc, n: acc + F.size(n["transformations"])).alias("steps"),
-        F.coalesce(F.size("fineGrainedLineages"), F.lit(0)).alias("pairs"),
-    )
-    sums = per_part.groupBy("direction", "entity_id", "entity_name").agg(
-        F.sum("steps").alias("n_transformations"), F.sum(F.greatest("pairs", F.lit(0))).alias("n_pairs")
+        up["urn"].alias("from_entity"),
+        up["path"].alias("from_column"),
+        down["urn"].alias("to_entity"),
+        down["path"].alias("to_column"),
+        step["fileId"].alias("file_id"),
+        step["transformation_type"].alias("transformation_type"),
+        step["lines"]["start_line"].alias("start_line"),
+        step["lines"]["end_line"].alias("end_line"),
     )
-    names = per_part.select("direction", "entity_id", F.explode("names").alias("n")).distinct()
-    counted = names.groupBy("direction", "entity_id").agg(F.count(F.lit(1)).alias("n_neighbours"))
-    return sums.join(counted, ["direction", "entity_id"], "left").withColumn(
-        "n_neighbours", F.coalesce("n_neighbours", F.lit(0).cast("bigint"))
+
+
+@query(
+    over(
+        "c",
+        """SELECT d.direction, c.short_name AS entity_id, c.full_name AS entity_name
+FROM c, (VALUES ('upstream'), ('downstream')) AS d(direction)""",
     )
+)
+def lin_5_entities(spark, sf):
+    """Every entity has an answer in both directions, also one without edges."""
+    lake = X.lake(spark, sf)
+    answers = NE.lineage_answers(lake["assets"], lake["lineage"]).filter(F.col("item") == NE.ENTITY)
+    return answers.select("direction", F.col("entityId").alias("entity_id"), F.col("entityName").alias("entity_name"))
 
 
 @query(over("a nb", "SELECT a.asset_id, nb.* FROM a JOIN nb ON upper(nb.entity_id) = upper(a.short_name)"))

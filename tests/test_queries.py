@@ -62,28 +62,31 @@ def test_transformations_and_pairs(spark):
     ]
 
 
-def test_answers_in_parts_hold_everything(spark):
+def test_answers_have_one_grain(spark):
     s = small(spark)
-    whole = {(r.entity_id, r.direction): json.loads(r.answer)
-             for r in NE.answers_as_json(NE.lineage_answers(s["assets"], s["lineage"])).collect()}
-    answer = whole[("t", "upstream")]
-    assert [n["entityId"] for n in answer["lineage"]] == ["a", "b", "T", "t"]
-    assert answer["lineage"][0]["transformations"][0] == {
+    answers = NE.lineage_answers(s["assets"], s["lineage"])
+    by_item = {}
+    for r in NE.answers_as_json(answers).collect():
+        by_item.setdefault((r.entity_id, r.direction, r.item), []).append(json.loads(r.answer))
+    nodes = by_item[("t", "upstream", "neighbour")]
+    assert sorted({n["lineage"]["entityId"] for n in nodes}) == ["T", "a", "b", "t"]
+    assert {
         "fileId": "f1.sql", "transformation_type": "UNKNOWN", "lines": {"start_line": 1, "end_line": None},
-    }
-    assert answer["fineGrainedLineages"][0]["downstreams"] == [{"urn": "t", "path": None, "transformation": None}]
-    assert whole[("a", "upstream")]["lineage"] == [] and whole[("a", "upstream")]["fineGrainedLineages"] is None
-
-    cut = NE.lineage_answers(s["assets"], s["lineage"], part_rows=1)
-    assert cut.groupBy("entityId", "direction").count().filter("count > 1").count() > 0
-    steps = cut.select("entityId", "direction", F.explode("lineage").alias("n")).select(
-        "entityId", "direction", F.col("n.entityId").alias("neighbor"), F.explode("n.transformations").alias("t")
-    )
-    flat = LI.transformations(s["assets"], s["lineage"])
-    assert steps.count() == flat.count()
-    entity = NE.answers_as_json(NE.entity_answers(s["assets"], s["lineage"], s["columns"], "t")).collect()
-    fields = json.loads(entity[0].answer)["schemaMetadata"]["fields"]
+    } in [t for n in nodes if n["lineage"]["entityId"] == "a" for t in n["lineage"]["transformations"]]
+    pairs = by_item[("t", "upstream", "pair")]
+    assert [{"urn": "t", "path": None, "transformation": None}] in [p["fineGrainedLineages"]["downstreams"] for p in pairs]
+    assert len(by_item[("a", "upstream", "entity")]) == 1 and ("a", "upstream", "neighbour") not in by_item
+
+    steps = answers.select(F.explode("lineage.transformations"))
+    assert steps.count() == LI.transformations(s["assets"], s["lineage"]).count()
+    assert answers.filter("item = 'pair'").count() == LI.column_lineage(s["assets"], s["lineage"]).count()
+    document = NE.as_document(answers.filter("entityId = 't' AND direction = 'upstream'")).first()
+    assert document.entityName and len(document.lineage) == len(nodes) and len(document.fineGrainedLineages) == len(pairs)
+
+    entity = [json.loads(r.answer) for r in NE.answers_as_json(NE.entity_answers(s["assets"], s["lineage"], s["columns"], "t")).collect()]
+    fields = [e["fields"] for e in entity if e["fields"]]
     assert [f["path"] for f in fields] == ["z", "z"] and fields[0]["nativeDataType"] == "varchar"
+    assert sum(e["columnCount"] is not None for e in entity) == 1
 
 
 def test_edge_detail(spark):
