@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.chains import forward_backward, side_by_side
 from edgeloom.llm.common import column, id_remainder
-from edgeloom.llm.words import kept
+from edgeloom.llm.words import kept, sliced
 
 UNDETERMINED = "und"
 
@@ -239,19 +239,13 @@ def _tagging(docs: DataFrame, crf: Crf):
     return tag
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def tag_documents(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text", spans: bool = False) -> DataFrame:
     """Language and score of each whole text; with `spans` also its stretches of one language."""
     tag, languages = _tagging(docs, crf), crf.languages
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, 1024):
             found = tag(batch.column(1).to_pylist())
             arrays = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = ["doc_id", "lang_pred", "score"]
@@ -269,7 +263,7 @@ def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.3)
     tag = _tagging(docs, crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, 1024):
             found = tag(batch.column(text).to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import column, stored
-from edgeloom.llm.words import SegmentCache, as_uint32, in_groups, kept
+from edgeloom.llm.words import SegmentCache, as_uint32, in_groups, kept, sliced
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces of one length are ranked in chunks of about so many.
@@ -86,7 +86,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept(tokenizer_json, lambda: ByteBpe(tokenizer_json))
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(6 + keep_ids)]
             doc_ids, row_ids, texts = (batch.column(i).to_pylist() for i in range(3))
             encoded = bpe.encode_texts([t or "" for t in texts])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from edgeloom.llm.common import column
-from edgeloom.llm.words import SegmentCache, as_uint32, in_groups, kept
+from edgeloom.llm.words import SegmentCache, as_uint32, in_groups, kept, sliced
 
 SPACE = "▁"
 # Fixed values of the model file: piece types and model types.
@@ -216,7 +216,7 @@ def encode_documents(docs: DataFrame, model_bytes: bytes, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(model_bytes, lambda: Codec(model_bytes))
-        for batch in batches:
+        for batch in sliced(batches):
             doc_ids, texts = (batch.column(i).to_pylist() for i in range(2))
             out: list[list] = [[] for _ in range(5 + 2 * outputs)]
             encoded = codec.encode_texts([t or "" for t in texts])

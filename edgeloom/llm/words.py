@@ -6,15 +6,16 @@ Prose repeats its words, so a library's encoder runs on few segments and the res
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 
 class SegmentCache:
     """Ids of segments, as little-endian 32-bit numbers. A cache of `limit` segments starts anew, so memory is bounded."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], limit: int = 1_500_000):
+    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], limit: int = 900_000):
         self.encode_batch, self.limit = encode_batch, limit
         self.known: dict[str, bytes] = {}
 
@@ -52,6 +53,13 @@ def as_uint32(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, dtype="<u4")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in small parts: only so many rows become Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_groups(texts: list, size: int = 64):
     for i in range(0, len(texts), size):
         yield texts[i : i + size]
