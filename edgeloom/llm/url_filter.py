@@ -112,11 +112,12 @@ def judge_urls(
     n_features: int = 4096,
     max_rows: int = 4000,
 ) -> DataFrame:
-    """The rows of `pages` with host, path, rule and verdict."""
+    """The rows of `pages` with host, path, rule and verdict, in place of columns of these names."""
     clash = {"host", "path", "rule", "verdict"}
-    kept = [column(pages, c) for c in pages.columns if c not in clash]
     link = column(pages, url)
-    urls = pages.select(*kept, host_of(link).alias("host"), path_of(link).alias("path"))
+    # The row itself travels as one column, so its names clash with none of the model's.
+    row = F.struct(*[column(pages, c).alias(c) for c in pages.columns if c not in clash])
+    urls = pages.select(row.alias("row"), host_of(link).alias("host"), path_of(link).alias("path"))
     urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
 
     small = labelled_urls(urls, max_rows) if labelled is None else labelled
@@ -126,9 +127,9 @@ def judge_urls(
     decided = rule_verdict(F.col("rule"), rules)
     if len(labels) < 2:
         only = BLOCK if labels == {0.0} else ALLOW
-        return urls.withColumn("verdict", F.coalesce(decided, F.lit(only)))
+        return urls.select("row.*", "host", "path", "rule", F.coalesce(decided, F.lit(only)).alias("verdict"))
     model = LogisticRegression(featuresCol="hashed", labelCol="label", predictionCol="says", maxIter=30, regParam=0.01).fit(train)
     train.unpersist()
     marked = hashing.transform(urls.withColumn("grams", features(F.col("host"), F.col("path"))))
     says = F.when(F.col("says") == 1.0, ALLOW).otherwise(BLOCK)
-    return model.transform(marked).select(*urls.columns, F.coalesce(decided, says).alias("verdict"))
+    return model.transform(marked).select("row.*", "host", "path", "rule", F.coalesce(decided, says).alias("verdict"))

@@ -28,7 +28,7 @@ URLS = [
 
 
 def test_parts_and_rules(spark):
-    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string, `a.b` string")
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string, `a.b` string").selectExpr("*", "1 AS grams", "2 AS says", "3 AS `row`")
     rows = judge_urls(pages).collect()
     assert len(rows) == 2 * len(URLS)
     for r in rows:
