@@ -9,9 +9,9 @@ from edgeloom import constants as C
 
 
 def stable_id(*parts: Column | str) -> Column:
-    """Id from the natural key, so that a rerun gives the same id."""
+    """Id from the natural key, so that a rerun gives the same id. A null part has a mark of its own."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.sha2(F.concat_ws("\u0001", *[c.cast("string") for c in cols]), 256)
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0002")) for c in cols]), 256)
 
 
 def asset_id(run_id: Column | str, short_name: Column | str) -> Column:

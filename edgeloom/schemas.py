@@ -60,7 +60,6 @@ _DDL = {
         to_short STRING, to_full STRING, from_column STRING, to_column STRING, edge_type STRING,
         transformation_type STRING, start_line INT, end_line INT, created_at TIMESTAMP_NTZ, skip_reason STRING,
         skipped BOOLEAN, run_bucket INT""",
-    "event_keys": "run_id STRING, event_seq BIGINT, event_tie BIGINT, run_bucket INT",
     "quarantine": """
         run_id STRING, event_seq BIGINT, event_tie BIGINT, item STRING, pos INT, reason STRING, line STRING""",
     "extraction_logs": """

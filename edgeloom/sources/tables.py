@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def write_table(
 def at_once(*writes: Callable[[], None]) -> None:
     """Run writes that do not need each other as concurrent Spark jobs; the first failure is raised."""
     with ThreadPoolExecutor(len(writes)) as pool:
-        for done in [pool.submit(w) for w in writes]:
+        for done in [pool.submit(inheritable_thread_target(w)) for w in writes]:
             done.result()
 
 

@@ -99,3 +99,12 @@ def test_ids_do_not_depend_on_the_run_of_the_job(spark):
     df = spark.createDataFrame([("r", 1)], "a string, b int")
     one, two = (df.select(K.stable_id("a", "b")).first()[0] for _ in range(2))
     assert one == two and len(one) == 64
+
+
+def test_ids_tell_null_parts_apart(spark):
+    from edgeloom.functions import keys as K
+
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a", "", "b")], "x string, y string, z string")
+    ids = {r.id for r in df.select(K.stable_id("x", "y", "z").alias("id")).collect()}
+    ids |= {r.id for r in df.filter("y IS NULL").select(K.stable_id("x", "z").alias("id")).collect()}
+    assert len(ids) == 4
