@@ -1,8 +1,9 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share lines are found by line hashes: a rare line (in at most `rare` documents) pairs each of its holders
-with all earlier ones, a more frequent line pairs each holder with the first one, so no line is left out and no group is
-paired with itself. Each pair is aligned with patience diff on its line hashes: lines that are unique in both documents
+Documents that share blocks are found by hashes of line runs: the shortest run of adjacent lines with `min_words` words that
+starts at each line, and the shortest that ends at each line. Every line of a long enough block lies in such a run of the
+block, so it is enough to pair each holder of a run with the run's first holder: no block is left out, and pairs grow with
+the lines. Each pair is aligned with patience diff on its line hashes: lines that are unique in both documents
 and in the same order are anchors, equal lines next to anchors join them, and the rest is aligned again until nothing is
 found. Common blocks of at least `min_words` words go from the later document, the one with the larger id. The first
 holder of a line always keeps it.
@@ -23,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +34,32 @@ from edgeloom.llm.common import column, stored
 
 @dataclass(frozen=True)
 class LineSettings:
-    """`min_words`: shorter common blocks stay. `rare`: documents a rare line is in at most."""
+    """`min_words`: shorter common blocks stay."""
 
     min_words: int = 10
-    rare: int = 8
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def line_runs(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and hash of the shortest runs with `min_words` words that start at each line or end at it."""
+    n, base = len(lines), 0x9E3779B97F4A7C15
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    place = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + min_words)
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    starts = np.concatenate([place[end <= n], start[start >= 0]])
+    ends = np.concatenate([end[end <= n], place[start >= 0] + 1])
+    # A polynomial of the lines; sums of stretches are shifted to power 0 by the inverse of the base.
+    steps = (np.array([1] + [b] * n, dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    power, back = (np.cumprod(s, dtype=np.uint64) for s in steps)
+    single = _mix(np.asarray(lines, dtype=np.int64).view(np.uint64) + np.uint64(base)) * power[:n]
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(single, dtype=np.uint64)])
+    return starts, ends, _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
 def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -123,15 +147,24 @@ def line_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def overlapping(tables: DataFrame, settings: LineSettings) -> DataFrame:
-    """Pairs (early, late) of documents that share a line."""
-    held = tables.select("doc", F.explode(F.array_distinct("lines")).alias("line")).filter("line != 0")
-    lines = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("first"), F.max("doc").alias("last"))
-    shared = held.join(lines.filter("first < last").drop("last"), "line")
-    often = shared.filter((F.col("df") > settings.rare) & (F.col("first") < F.col("doc"))).select(F.col("first").alias("early"), F.col("doc").alias("late"))
-    few = shared.filter(F.col("df") <= settings.rare).groupBy("line").agg(F.collect_set("doc").alias("docs"))
-    late = few.select("docs", F.explode("docs").alias("late"))
-    rare = late.select(F.explode(F.filter("docs", lambda d: d < F.col("late"))).alias("early"), "late")
-    return often.union(rare).distinct()
+    """Pairs (early, late): each document that shares a run of lines with earlier ones, with the first that holds the run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, waiting = [], [], 0
+            for i, (lines, words) in enumerate(zip(batch.column("lines"), batch.column("words"), strict=True)):
+                own = np.unique(line_runs(lines.values.to_numpy(), words.values.to_numpy(), settings.min_words)[2])
+                rows.append(np.full(len(own), i))
+                keys.append(own)
+                waiting += len(own)
+                if waiting > 100_000 or i == batch.num_rows - 1:
+                    docs = batch.column("doc").take(pa.array(np.concatenate(rows)))
+                    yield pa.record_batch([docs, pa.array(np.concatenate(keys))], names=["doc", "run"])
+                    rows, keys, waiting = [], [], 0
+
+    held = tables.mapInArrow(run, "doc struct<id: long, hash: long>, run long")
+    firsts = held.groupBy("run").agg(F.min("doc").alias("early"), F.max("doc").alias("last")).filter("early < last").drop("last")
+    return held.withColumnRenamed("doc", "late").join(firsts, "run").filter("early < late").select("early", "late").distinct()
 
 
 def common_lines(pairs: DataFrame, tables: DataFrame, settings: LineSettings) -> DataFrame:

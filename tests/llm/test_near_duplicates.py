@@ -175,3 +175,14 @@ def test_line_dedup_odd_rows(documents):
         by[r.doc_id].append(r.text)
     assert by == {None: [long_line], 1: [None], 2: [""], 3: ["mine\n\nend"] * 2, 4: ["short"], 5: ["a\n" * 49_999 + "a"], 6: ["short\nshort"], 7: ["\n\n"], 8: [long_line.upper()]}
     assert D.remove_common_lines(documents([])).collect() == []
+
+
+def test_line_dedup_of_frequent_lines(documents):
+    """Short frequent lines that each first occur alone: the block they form is cut from all but its first holder."""
+    block = ["one two three four five six", "seven eight nine ten eleven"]
+    texts = [(0, f"own a\n{block[0]}"), (1, f"own b\n{block[1]}"), *[(i, "\n".join([f"own {i}", *block, f"end {i}"])) for i in range(2, 14)]]
+    assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
+    # A line that is long enough alone has another first holder than the block it ends.
+    long_line = " ".join("abcdefghij")
+    texts = [(0, long_line), *[(i, f"own {i}\n{long_line}\nshort tail\nend {i}") for i in range(1, 12)], (12, f"tail\nshort tail\n{long_line}"), (13, f"x\nshort tail\n{long_line}")]
+    assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
