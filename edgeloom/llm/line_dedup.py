@@ -5,7 +5,8 @@ starts at each line, and the shortest that ends at each line. Every line of a lo
 block, so it is enough to pair each holder of a run with the run's first holder: no block is left out, and pairs grow with
 the lines. Each pair is aligned with patience diff on its line hashes: lines that are unique in both documents
 and in the same order are anchors, equal lines next to anchors join them, and the rest is aligned again until nothing is
-found. Common blocks of at least `min_words` words go from the later document, the one with the larger id. The first
+found. Blocks without such anchors, as of a passage that one of the documents repeats, are found by the hashes of their runs.
+Common blocks of at least `min_words` words go from the later document, the one with the larger id. The first
 holder of a line always keeps it.
 
 Only hashes and word counts of lines (64 bits each) move before the last step; texts are read to hash their lines and to
@@ -103,9 +104,9 @@ def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
     """Stretches (from, to) of b that are aligned with equal stretches of a and have enough words.
 
-    Blocks that stand in another order are found by aligning again what is left.
+    Blocks that stand in another order are found by aligning again what is left, blocks of repeated lines by their runs.
     """
-    blocks: list[tuple[int, int]] = []
+    gone = np.zeros(len(b) + 1, dtype=np.int64)  # +1 where a block begins, -1 after its end
     places = list(range(len(b)))
     while places:
         taken: set[int] = set()
@@ -115,7 +116,8 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
             j = places[k] if k >= 0 else -2
             if run and (i, j) != (last[0] + 1, last[1] + 1):
                 if sum(words[p] for p in run) >= min_words:
-                    blocks.append((run[0], run[-1] + 1))
+                    gone[run[0]] += 1
+                    gone[run[-1] + 1] -= 1
                     taken.update(run)
                 run = []
             run.append(j)
@@ -123,7 +125,16 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
         if not taken:
             break
         places = [p for p in places if p not in taken]
-    return sorted(blocks)
+    if places:
+        words_of = dict(zip(b, words, strict=True))
+        # A line that b lacks ends a run at once: no run that holds it is a run of b.
+        _, _, known = line_runs(np.array(a), np.array([words_of.get(line, min_words) for line in a]), min_words)
+        starts, ends, runs = line_runs(np.array(b), np.array(words), min_words)
+        same = np.isin(runs, known)
+        np.add.at(gone, starts[same], 1)
+        np.add.at(gone, ends[same], -1)
+    edges = np.flatnonzero(np.diff(np.cumsum(gone) > 0, prepend=False)).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
 
 
 def _lines(text: Column) -> Column:

@@ -186,3 +186,17 @@ def test_line_dedup_of_frequent_lines(documents):
     long_line = " ".join("abcdefghij")
     texts = [(0, long_line), *[(i, f"own {i}\n{long_line}\nshort tail\nend {i}") for i in range(1, 12)], (12, f"tail\nshort tail\n{long_line}"), (13, f"x\nshort tail\n{long_line}")]
     assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
+
+
+def test_line_dedup_of_repeated_passages(documents):
+    """A passage that the first holder or a later one has twice leaves no anchor that is unique in both."""
+    passage = ["one two three four five six", "seven eight nine ten eleven"]
+    assert D.common_blocks([1, 2, 9, 1, 2, 8], [7, 1, 2, 6], [5] * 4, 10) == [(1, 3)]
+    assert D.common_blocks([9, 1, 2, 8], [7, 1, 2, 6, 1, 2, 5], [5] * 7, 10) == [(1, 3), (4, 6)]
+    for twice in (0, 1, 2):
+        texts = [(i, "\n".join([f"own {i}", *passage, *([f"mid {i}", *passage] if i == twice or i == 20 else []), f"end {i}"])) for i in [0, 1, 2, *range(11, 24)]]
+        assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
+    rng = random.Random(8)
+    lines = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefg", (3, 4, 5, 6, 7, 4, 11))]
+    texts = [(i, "\n".join([f"own {i}", *rng.choices(lines, k=rng.randint(0, 9))])) for i in range(60)]
+    assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
