@@ -45,3 +45,24 @@ def test_odd_documents(spark, documents):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_near_duplicates_from_080(spark, documents, words):
+    """The stage links from 0.80 on, as a brute-force search does."""
+    import random
+
+    from tests.llm.test_near_duplicates import roots, shingles
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=120)
+        texts.append(base)
+        texts.append([*base[:rng.randint(96, 112)], *rng.choices(words, k=8)])
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [(i, shingles(t)) for i, t in texts]
+    alike = {(i, j): len(s & t) / len(s | t) for a, (i, s) in enumerate(sets) for j, t in sets[a + 1 :]}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 3
+    want = roots([i for i, _ in sets], [p for p, x in alike.items() if x >= 0.8])
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(texts), SF).collect()}
+    assert left == {i for i, c in want.items() if i == c}
