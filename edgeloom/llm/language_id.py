@@ -5,8 +5,8 @@ texts. Learned weights turn them into a score per language, learned transitions
 forward-backward gives the probability of each language at each word, also where a text switches between languages. The
 language of a text is the one with the highest mean probability over its words, and that mean is its score.
 
-The field is fitted on a bounded, seeded choice of labelled training texts (`sample`, in equal parts per language, none
-longer than `longest` characters); everything else reads whole texts. Training chains are made of stretches of words from
+The field is fitted on a bounded, seeded choice of different labelled training texts (`sample`, in equal parts per
+language, of longer ones a stretch of `longest` characters); everything else reads whole texts. Training chains are made of stretches of words from
 different texts, so switches are seen.
 
 Defined results: null text and text without a letter are `und` with score 0, as is every text if no labelled training
@@ -205,16 +205,24 @@ def spans_of(labels: np.ndarray, languages: list[str]) -> list[dict]:
 
 
 def labelled_sample(docs: DataFrame, text: str, lang: str, usable, settings: CrfSettings) -> list[tuple[str, str]]:
-    """At most `sample` labelled texts, in equal parts per language, first by a seeded hash of the text."""
+    """At most `sample` different labelled texts, in equal parts per language, first by a seeded hash of the text.
+
+    Of texts over `longest` characters a stretch of that length is taken, from a place that the hash says.
+    """
     texts = docs.filter(usable & column(docs, lang).isNotNull()).select(column(docs, text).alias("text"), column(docs, lang).alias("lang"))
-    texts = texts.filter(F.col("text").isNotNull() & (F.length("text") <= settings.longest))
-    languages = texts.select("lang").distinct().count()
+    hashed = texts.filter(F.col("text").isNotNull()).withColumn("at", F.xxhash64(F.lit(settings.seed), "text"))
+    different = hashed.select("lang", "at").distinct()
+    languages = different.select("lang").distinct().count()
     if not languages:
         return []
-    hashed = texts.withColumn("at", F.xxhash64(F.lit(settings.seed), "text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    chosen = hashed.withColumn("rank", rank).filter(F.col("rank") <= max(1, settings.sample // languages))
-    return [(r.text, r.lang) for r in chosen.orderBy("lang", "rank").select("text", "lang").limit(settings.sample).collect()]
+    ranked = different.withColumn("rank", rank).filter(F.col("rank") <= max(1, settings.sample // languages))
+    chosen = ranked.orderBy("lang", "rank").limit(settings.sample)
+    # At most `sample` rows; the copies of a text meet in one.
+    begin = F.pmod("at", F.greatest(F.length("text") - settings.longest, F.lit(0)) + 1).cast("int") + 1
+    stretch = hashed.join(F.broadcast(chosen), ["lang", "at"]).withColumn("text", F.col("text").substr(begin, F.lit(settings.longest)))
+    read = stretch.groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    return [(r.text, r.lang) for r in read.orderBy("lang", "rank").collect()]
 
 
 def _tagging(docs: DataFrame, crf: Crf):
@@ -259,12 +267,16 @@ def tag_documents(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "t
 
 
 def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows, unchanged, whose text has a language with a score of at least `least`."""
-    tag = _tagging(docs, crf)
+    """The rows, unchanged, whose text has a language with a score of at least `least`; with a letter, if no language is known."""
+    tag, unknown = _tagging(docs, crf), not crf.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1024):
-            found = tag(batch.column(text).to_pylist())
+            texts = batch.column(text).to_pylist()
+            if unknown:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+                continue
+            found = tag(texts)
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -58,3 +58,20 @@ def test_no_or_one_language(documents):
 
 def test_letters():
     assert [L.letters(w) for w in ("word", "'word'!", "###", "a1b", "é***", "")] == ["word", "word", "", "a1b", "é", ""]
+
+
+def test_long_and_copied_training_texts(documents):
+    """Long texts are learnt from by a stretch, copies of one text count once, and without labels no clean document goes."""
+    from pyspark.sql import functions as F
+
+    from edgeloom.llm import language_id as L
+
+    long_text = "der hund und die katze " * 2_000
+    rows = [(4 * i, "the very same text of many copies", "en") for i in range(40)] + [(4 * i + 1, f"another english text number {i} here", "en") for i in range(5)]
+    docs = documents([*rows, *[(4 * i, f"{i} {long_text}", "de") for i in range(3)]])
+    chosen = L.labelled_sample(docs, "text", "lang", F.lit(True), L.CrfSettings(sample=20))
+    assert sorted(lang for _, lang in chosen) == ["de"] * 3 + ["en"] * 6 and len(set(chosen)) == 9
+    assert all(len(t) == 20_000 for t, lang in chosen if lang == "de")
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert L.accepted(none, L.fit_on_documents(none)).count() == docs.count()
+    assert L.accepted(docs, L.fit_on_documents(docs)).filter("lang = 'de'").count() == 3
