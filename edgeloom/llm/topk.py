@@ -5,7 +5,7 @@ largest squared length of a vector, x gets sqrt(M - |x|^2) and q gets 0, and the
 largest products are the nearest neighbours.
 
 Pivots, a bounded seeded choice of vectors, part queries and data into Voronoi cells. Per cell there is a summary: for
-queries the radius, for data the k smallest distances to the pivot. From them follows, per query cell, a bound on the
+queries the radius, for data the k + 1 smallest distances to the pivot of different ids. From them follows, per query cell, a bound on the
 distance of the k-th neighbour of any of its queries. Query cells near each other make groups of bounded size, large
 ones are split; a data vector is copied to a group only if the triangle inequality lets it lie within the bound of one
 of its cells. Tasks then solve a group of queries against a block of data by integer products held exactly in doubles,
@@ -98,23 +98,26 @@ def to_cells(rows: DataFrame, pivots: np.ndarray, top: float, is_query: Column)
 def reach(placed: DataFrame, pivots: np.ndarray, settings: KnnSettings) -> np.ndarray:
     """least[i, j]: data of cell j nearer to its pivot than this are out of reach for all queries of cell i.
 
-    Everything here is of the size of the pivots: radii, and the k smallest distances per data cell.
+    Everything here is of the size of the pivots: radii, and the k + 1 smallest distances of different ids per data cell.
     """
     n, k = len(pivots), settings.k
     radius = np.full(n, -1.0)
     for r in placed.filter("query").groupBy("cell").agg(F.max("far").alias("r")).collect():
         radius[r.cell] = r.r
     nearest = Window.partitionBy("cell").orderBy("far")
-    # One more than k: a query may be among its own cell's data, and takes no part there.
-    close = placed.filter("not query").withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k + 1)
-    smallest = np.full((n, k + 1), np.inf)
-    for r in close.select("cell", "rank", "far").collect():
-        smallest[r.cell, r["rank"] - 1] = r.far
+    # One more than k, and each id once per cell: rows with a query's own id take no part in its answer.
+    ids = placed.filter("not query").groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
+    close = ids.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k + 1)
+    held = close.select("cell", "vec_id", "far").collect()
+    cell, own, far = (np.array([r[c] for r in held], dtype=t) for c, t in (("cell", np.int64), ("vec_id", np.int64), ("far", np.float64)))
     between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0))
     least = np.full((n, n), np.inf)
     for i in np.flatnonzero(radius >= 0):
-        bounds = np.sort((radius[i] + between[i][:, None] + smallest).ravel())
-        limit = bounds[k]  # the (k + 1)-th: at least k candidates other than the query are within it
+        bounds = radius[i] + between[i][cell] + far
+        order = np.argsort(bounds)
+        first = np.sort(np.unique(own[order], return_index=True)[1])  # where each id is nearest, over all cells
+        # The (k + 1)-th id: at least k ids other than the query's are within it.
+        limit = bounds[order[first[k]]] if len(first) > k else np.inf
         # |q, x| >= |p_i, p_j| - radius_i - |p_j, x|
         least[i] = between[i] - radius[i] - limit * (1 + settings.slack) - settings.slack
     return least

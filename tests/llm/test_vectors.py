@@ -86,3 +86,15 @@ def test_near_duplicates_keep_every_row(vectors):
     assert said == {None: (0, None, None), 5: (1, 4, False), 4: (1, 4, True), 6: (1, 6, True), 7: (1, 6, False)}
     assert near_duplicate_vectors(vectors([])).collect() == []
     assert near_duplicate_vectors(vectors([(3, None, 0)])).collect()[0].n_links == 0
+
+
+def test_top_k_of_a_query_id_on_many_rows(vectors):
+    """Rows with the query's own id take no part in the answer, so they must not tighten what is searched, whatever their cell."""
+    near = [(100, [10.0, 0.0], 0)] * 10 + [(100, [10.0 + 0.001 * i, 0.0], 0) for i in range(1, 11)]
+    data = near + [(i, [9.0 * math.cos(i), 9.0 * math.sin(i)], 0) for i in range(1, 61)]
+    settings = KnnSettings(k=5, pivots=200)
+    got = sorted(map(tuple, top_k(vectors(data), F.col("vec_id") == 100, settings=settings).collect()))
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in data]
+    asks = min(v for i, v in whole if i == 100)
+    scored = sorted((-sum(a * b for a, b in zip(asks, v)), i) for i, v in whole if i != 100)[:5]
+    assert got == [(100, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
