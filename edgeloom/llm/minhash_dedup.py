@@ -11,7 +11,7 @@
    are read again, and links are confirmed on them, again as forests per tile of bounded blocks.
 5. Components of the confirmed links.
 
-With similarity 0.85 and 32 coordinates a linked pair agrees in fewer than 17 with a probability of about one in a
+With similarity 0.85 and 32 coordinates a linked pair agrees in fewer than 17 with a probability of about 3.5 in a
 million, and it is linked all the same if a chain of others connects it.
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0, and are linked with
