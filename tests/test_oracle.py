@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from edgeloom.workload import QUERIES, SQL
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,9 +14,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows(spark, con, name):
-    assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) == ""
+    assert compare(QUERIES[name](spark, SF), con, SQL[name]) == ""
 
 
 def test_entry(spark):

@@ -5,9 +5,9 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from __spark_entry__ import queries
 from edgeloom.operators import lineage as LI
 from edgeloom.plans.ingest import ingest
+from edgeloom.workload import QUERIES
 from edgeloom.workload import fixtures as X
 from tests.helpers import edge, file_event, lines, table
 
@@ -24,16 +24,16 @@ def plan(df) -> str:
 STREAMED = {"str_1", "str_2", "str_2_assets", "str_2_columns", "str_3"}
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in STREAMED])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in STREAMED])
 def test_no_cross_join_and_no_python_rows(spark, name):
-    text = plan(queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in text
 
 
 def test_limits_come_before_the_shuffle(spark):
     for name in ("log_3", "col_2"):
-        text = plan(queries()[name](spark, SF))
+        text = plan(QUERIES[name](spark, SF))
         tree = text[: text.index("\n\n\n")]
         assert tree.rindex("WindowGroupLimit") > tree.rindex("Exchange")
 
@@ -49,7 +49,7 @@ def test_run_lookup_prunes_directories_and_pushes_the_run(spark, tmp_path):
 
 
 def test_scans_read_only_what_is_asked(spark):
-    text = plan(queries()["lin_2"](spark, SF))
+    text = plan(QUERIES["lin_2"](spark, SF))
     schemas = [line for line in text.split("\n") if line.startswith("ReadSchema")]
     assert schemas and not any("file_path" in s or "transformation_type" in s for s in schemas)
 
