@@ -74,6 +74,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.lexical_search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_hmm_scoring": op2_hmm_scoring,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_shared_search": op12_shared_search,
 }
 
 _FINITE = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
@@ -128,4 +135,25 @@ SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
             vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
         FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op12_shared_search": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+        ), d AS (SELECT *, len(t)::BIGINT AS n FROM t WHERE len(t) > 0
+        ), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d
+        ), q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)
+        ), p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL
+        ), w AS (
+            SELECT t, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t
+        ), s AS (
+            SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))))::BIGINT AS score
+            FROM q JOIN w USING (t) JOIN p USING (t) JOIN d USING (r), c GROUP BY ALL
+        ), k AS (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+            FROM s JOIN d USING (r) WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }
