@@ -80,6 +80,12 @@ def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_min_cut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.html_extraction import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_hmm_scoring": op2_hmm_scoring,
@@ -92,6 +98,7 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op12_shared_search": op12_shared_search,
+    "op13_min_cut_html": op13_min_cut_html,
 }
 
 _FINITE = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
@@ -156,4 +163,15 @@ SQL: dict[str, str] = {
             FROM s JOIN d USING (r) WHERE score > 0
         )
         SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
+    # What the given pages say in their markup: the headings and paragraphs of the article.
+    "op13_min_cut_html": r"""
+        WITH b AS (
+            SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS b FROM pages
+        ), t AS (
+            SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(
+                regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+                    '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+                    '&#(?:x27|39);', chr(39), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM t""",
 }
