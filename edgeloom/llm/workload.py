@@ -74,6 +74,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.lexical_search import rank_documents
 
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_shared_search": op12_shared_search,
     "op13_min_cut_html": op13_min_cut_html,
 }
@@ -142,6 +149,33 @@ SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
             vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
         FROM embeddings LEFT JOIN m ON m.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op11_prefix_trie": """
+        WITH o AS (
+            SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, list({'r': r, 't': t} ORDER BY p) AS l, xor(4294967295::BIGINT, list_reduce(
+                list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+            FROM o GROUP BY conv_id
+        ), s AS (
+            SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS l
+            FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100
+        ), m AS (
+            SELECT conv_id, len(l) AS n, d, md5(to_json(l[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(to_json(l[1:d - 1])::VARCHAR) END AS pk,
+                CASE WHEN d > 0 THEN length(l[d].t) ELSE 0 END AS chars
+            FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM s)
+        ), v AS (
+            SELECT k, any_value(pk) AS pk, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                bool_and(n = d) AS leaf, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM m GROUP BY k
+        ), t AS (
+            SELECT m.k, sum(leaf::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * v.chars)::BIGINT AS saved_tokens
+            FROM v JOIN m ON m.conv_id = v.conv_id AND m.d <= v.depth GROUP BY m.k
+        ), h AS (SELECT pk AS k, count(*) AS n_children FROM v WHERE pk IS NOT NULL GROUP BY pk)
+        SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, v.ends_sha256
+        FROM v JOIN t USING (k) LEFT JOIN h USING (k) LEFT JOIN v p ON p.k = v.pk""",
     "op12_shared_search": r"""
         WITH t AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
