@@ -110,13 +110,11 @@ def column_mentions(mentions: DataFrame) -> DataFrame:
 COLUMN_KEY = ["run_id", "short_name", "role", "column_name"]
 
 
-def first_columns(named: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Columns not known before their mention. A name twice in its first list is stored twice: the list is
-    compared with what was stored before it. The rank is limited before the shuffle, so repeats stay local."""
+def first_column_mentions(named: DataFrame) -> DataFrame:
+    """Column rows of the earliest mention of each key, with its place. A name twice in its first list is there twice: the
+    list is compared with what came before it. The rank is limited before the shuffle, so repeats stay local."""
     w = Window.partitionBy(*COLUMN_KEY).orderBy(*C.ARRIVAL, "pos")
-    first = named.withColumn("mention", F.rank().over(w)).filter("mention = 1").drop("mention")
-    if stored is not None:
-        first = first.join(stored.select(*COLUMN_KEY).distinct(), COLUMN_KEY, "left_anti")
+    first = named.withColumn("mention", F.rank().over(w)).filter("mention = 1")
     return first.select(
         K.stable_id(*COLUMN_KEY, *C.ARRIVAL, "pos", "column_pos").alias("asset_column_id"),
         K.asset_id("run_id", "short_name").alias("asset_id"),
@@ -125,9 +123,29 @@ def first_columns(named: DataFrame, stored: DataFrame | None = None) -> DataFram
         "column_name",
         "role",
         F.col("event_time").alias("created_at"),
+        F.col("event_seq").alias("first_seq"),
+        F.col("event_tie").alias("first_tie"),
+        F.col("pos").alias("first_pos"),
     )
 
 
+FIRST_AT = ["first_seq", "first_tie", "first_pos"]
+
+
+def merge_columns(facts: DataFrame) -> DataFrame:
+    """The earliest mention over facts that were found apart, each the earliest of its part."""
+    w = Window.partitionBy(*COLUMN_KEY).orderBy(*FIRST_AT)
+    return facts.withColumn("mention", F.rank().over(w)).filter("mention = 1").drop("mention")
+
+
+def first_columns(named: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Columns not known before their mention, and not among those `stored` before."""
+    first = first_column_mentions(named).drop(*FIRST_AT)
+    if stored is not None:
+        first = first.join(stored.select(*COLUMN_KEY).distinct(), COLUMN_KEY, "left_anti")
+    return first
+
+
 def asset_links(mentions: DataFrame, lineage: DataFrame) -> DataFrame:
     """Asset to file: one row per kept mention and two per kept edge. Duplicates stay."""
 

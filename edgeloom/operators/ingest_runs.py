@@ -18,9 +18,9 @@ RUN_COLUMNS = [
 
 
 def run_facts(decoded: DataFrame) -> DataFrame:
-    """What the fold needs to know of each run: its first event, its last terminal event, its last stats.
+    """What the fold needs to know of each run: its first event, its last terminal event, its last stats, its last event.
 
-    All three are minima or maxima by arrival, so facts of several batches merge into the facts of the whole.
+    All are minima or maxima by arrival, so facts of several batches merge into the facts of the whole.
     """
     usable = F.col("reason").isNull()
     phase = F.when(F.col("event_type") == C.RUN_COMPLETED, C.COMPLETED).when(
@@ -40,6 +40,7 @@ def run_facts(decoded: DataFrame) -> DataFrame:
         F.max(F.when(usable & phase.isNotNull(), terminal)).alias("terminal"),
         F.max(F.when(F.col("stats").isNotNull(), K.arrival())).alias("stats_at"),
         F.max_by("stats", F.when(F.col("stats").isNotNull(), K.arrival())).alias("stats"),
+        F.max(F.when(usable, K.arrival())).alias("last"),
     ).filter(F.col("first").isNotNull())
 
 
@@ -49,6 +50,7 @@ def merge_run_facts(parts: DataFrame) -> DataFrame:
         F.max("terminal").alias("terminal"),
         F.max("stats_at").alias("stats_at"),
         F.max_by("stats", "stats_at").alias("stats"),
+        F.max("last").alias("last"),
     )
 
 

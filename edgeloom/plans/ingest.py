@@ -14,6 +14,7 @@ from edgeloom.operators import ingest_edges as G
 from edgeloom.operators import ingest_files as FI
 from edgeloom.operators import ingest_runs as R
 from edgeloom.sources import events as EV
+from edgeloom.sources.replays import decode_lines
 from edgeloom.sources.tables import at_once, kept, read_table, write_table
 
 TABLES = [
@@ -45,7 +46,7 @@ def ingest(
 ) -> dict[str, DataFrame]:
     """Run the whole ingest of a raw log and return the stored tables."""
     spark = lines.sparkSession
-    EV.decode_lines(lines, replays).write.mode("overwrite").parquet(f"{out}/decoded")
+    decode_lines(lines, replays).write.mode("overwrite").parquet(f"{out}/decoded")
     decoded = read_table(spark, f"{out}/decoded", "decoded")
 
     def write(df: DataFrame, name: str):

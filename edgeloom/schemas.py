@@ -34,7 +34,8 @@ _DDL = {
         first STRUCT<event_seq: BIGINT, event_tie: BIGINT, by_start: BOOLEAN, repository_url: STRING,
             branch: STRING, triggered_by: STRING, at: TIMESTAMP_NTZ>,
         terminal STRUCT<event_seq: BIGINT, event_tie: BIGINT, phase: STRING, at: TIMESTAMP_NTZ>,
-        stats_at STRUCT<event_seq: BIGINT, event_tie: BIGINT>, stats VARIANT, run_bucket INT""",
+        stats_at STRUCT<event_seq: BIGINT, event_tie: BIGINT>, stats VARIANT,
+        last STRUCT<event_seq: BIGINT, event_tie: BIGINT>, run_bucket INT""",
     "job_status": """
         job_id STRING, run_id STRING, event_seq BIGINT, event_tie BIGINT, sub_seq INT, pod_id STRING,
         status STRING, total_files INT, processed_files INT, succeeded_files INT, failed_files INT,
@@ -51,6 +52,14 @@ _DDL = {
     "asset_columns": """
         asset_column_id STRING, asset_id STRING, run_id STRING, short_name STRING, column_name STRING, role STRING,
         created_at TIMESTAMP_NTZ, run_bucket INT""",
+    "column_facts": """
+        asset_column_id STRING, asset_id STRING, run_id STRING, short_name STRING, column_name STRING, role STRING,
+        created_at TIMESTAMP_NTZ, first_seq BIGINT, first_tie BIGINT, first_pos INT, run_bucket INT""",
+    "late_names": """
+        run_id STRING, short_name STRING, at STRUCT<event_seq: BIGINT, event_tie: BIGINT>""",
+    "landed": """
+        tag STRING, run_id STRING, event_seq BIGINT, event_tie BIGINT, d1 BIGINT, d2 BIGINT, value STRING""",
+    "odd": "d1 BIGINT, d2 BIGINT, taken BOOLEAN",
     "asset_files": """
         asset_file_id STRING, run_id STRING, file_id STRING, asset_id STRING, side STRING,
         created_at TIMESTAMP_NTZ, run_bucket INT""",

@@ -8,7 +8,7 @@ columns, in which such values are still visible, are null for the events that ha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom import constants as C
@@ -54,17 +54,18 @@ def stream_event_lines(spark: SparkSession, path: str, max_files_per_trigger: in
     return spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(path)
 
 
-def parse_envelope(lines: DataFrame) -> DataFrame:
-    """Envelope fields of each line; `data` stays untyped. Unusable lines carry a `reason`.
+def parse_envelope(lines: DataFrame, *keep: str) -> DataFrame:
+    """Envelope fields of each line, beside the columns to keep; `data` stays untyped. Unusable lines carry a `reason`.
 
     A line without `event_seq` is ordered by its time, then by a hash of the line.
     """
     epoch = F.lit("1970-01-01T00:00:00").cast("timestamp_ntz")
     v = F.col("v")
     typed = (
-        lines.select("value", F.try_parse_json("value").alias("v"))
+        lines.select("value", *keep, F.try_parse_json("value").alias("v"))
         .select(
             "value",
+            *keep,
             P.text_as(v, "$", P.struct_of(HEAD_FIELDS)).alias("h"),
             P.any_as(v, "$", "struct<timestamp:string>").alias("any_head"),
             P.get(v, "$.event_seq", "bigint").alias("stated_seq"),
@@ -91,26 +92,10 @@ def parse_envelope(lines: DataFrame) -> DataFrame:
         F.when(F.col("stated_seq").isNull(), F.xxhash64("value")).otherwise(F.lit(0)).alias("event_tie"),
         "data",
         F.col("value").alias("line"),
+        *keep,
     )
 
 
-def drop_replays(envelopes: DataFrame) -> DataFrame:
-    """Replays go, and one usable row stays per event key.
-
-    Only a line that repeats key and text is a replay. Another text under a key in use is no replay: the first in text
-    order is the event, the others stay with the reason `key_conflict`. Unusable lines have no dependable key: they are
-    told apart by their text. Replays are limited before the first shuffle as well, so a line replayed very often sends
-    one row per task; what the second shuffle brings together under a key differs in text.
-    """
-    own_text = F.when(F.col("reason").isNotNull(), F.col("line"))
-    same = Window.partitionBy(*C.EVENT_KEY, "line").orderBy("line")
-    once = envelopes.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
-    at_key = Window.partitionBy(*C.EVENT_KEY, own_text).orderBy("line")
-    place = F.row_number().over(at_key)
-    ranked = once.withColumn("copy", place)
-    return ranked.withColumn("reason", F.when(F.col("copy") > 1, "key_conflict").otherwise(F.col("reason"))).drop("copy")
-
-
 def _joined(form: str, shape: str) -> Column:
     """The five edge arrays as one, one after the other."""
     nothing = F.array().cast(shape)
@@ -212,12 +197,6 @@ def decode(envelopes: DataFrame) -> DataFrame:
     )
 
 
-def decode_lines(lines: DataFrame, replays: bool = True) -> DataFrame:
-    """Lines to decoded events. `replays=False` skips the one shuffle for logs known to hold each event once."""
-    envelopes = parse_envelope(lines)
-    return decode(drop_replays(envelopes) if replays else envelopes)
-
-
 def unnest_members(decoded: DataFrame, *keep: str | Column) -> DataFrame:
     """One row per member of `tables`, with its position, its fields and what is `bad` about it."""
     some = decoded.filter(F.size("tables") > 0)

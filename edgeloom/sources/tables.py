@@ -23,6 +23,7 @@ SORT = {
     "job_status": ["run_id", "last_updated"],
     "extraction_runs": ["run_id"],
     "run_facts": ["run_id"],
+    "column_facts": ["run_id", "short_name"],
 }
 
 
@@ -37,6 +38,13 @@ def write_table(
     placed.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
+def write_part(df: DataFrame, path: str, name: str) -> None:
+    """Write what one micro-batch adds to a table: a few files in the order of the table, the bucket as a column. Directories
+    by run come with compaction."""
+    placed = df.withColumn("run_bucket", K.run_bucket("run_id")).hint("rebalance").sortWithinPartitions(*SORT.get(name, ["run_id"]))
+    placed.write.mode("overwrite").parquet(path)
+
+
 def at_once(*writes: Callable[[], None]) -> None:
     """Run writes that do not need each other as concurrent Spark jobs; the first failure is raised."""
     with ThreadPoolExecutor(len(writes)) as pool:

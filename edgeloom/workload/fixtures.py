@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from edgeloom import constants as C
 from edgeloom.plans.ingest import ingest
 from edgeloom.session import tune, work_dir
-from edgeloom.sources.events import decode_lines, read_event_lines
+from edgeloom.sources.events import read_event_lines
+from edgeloom.sources.replays import decode_lines
+from edgeloom.sources.tables import read_table
 from edgeloom.streaming.ingest import read_stream_lake, start_ingest
 from edgeloom.streaming.log_tail import start_tail
 
@@ -255,28 +257,46 @@ LANDINGS = 3
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame) -> dict[str, DataFrame]:
-    """Land the lines in the order of their sequence numbers, a few landings of many files each, and let the
-    incremental ingest follow: one micro-batch per landing, each continuing from the checkpoint of the last."""
+    """Land the lines in no order - `turn` moves a line on by so many landings - a few landings of many files each, and let
+    the incremental ingest follow: one micro-batch per landing, each continuing from the checkpoint of the last."""
     tune(spark)
     root = f"{place(spark, sf_dir, name)}_{uuid.uuid4().hex}"
-    last = lines.select(F.max("event_seq")).scalar()
-    placed = lines.withColumn("landing", F.floor(F.col("event_seq") * LANDINGS / (last + 1)).cast("int"))
+    landing = F.pmod(F.xxhash64("event_seq") + F.col("turn"), F.lit(LANDINGS))
+    placed = lines.withColumn("landing", landing)
     for i in range(LANDINGS):
         placed.filter(F.col("landing") == i).select("value").write.text(f"{root}/landing/{i}")
         start_ingest(spark, f"{root}/landing/*", f"{root}/lake", f"{root}/checkpoint").awaitTermination()
     return read_stream_lake(spark, f"{root}/lake")
 
 
+def repeated_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file event log in which some events come again: every 7th as it is, every 11th as another text of the same
+    meaning under the same key. `turn` is 1 for what comes again."""
+    lines = read_event_lines(spark, file_log(spark, sf_dir))
+    lines = lines.select(F.get_json_object("value", "$.event_seq").cast("bigint").alias("event_seq"), "value", F.lit(0).alias("turn"))
+    again = lines.filter("event_seq % 7 = 0").withColumn("turn", F.lit(1))
+    other = lines.filter("event_seq % 11 = 0").withColumns({"turn": F.lit(1), "value": F.concat("value", F.lit(" "))})
+    return lines.union(again).union(other)
+
+
+@once
+def repeated_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    path = place(spark, sf_dir, "repeated_log")
+    repeated_file_lines(spark, sf_dir).select("value").write.mode("overwrite").text(path)
+    out = place(spark, sf_dir, "repeated_decoded")
+    decode_lines(read_event_lines(spark, path)).write.mode("overwrite").parquet(out)
+    return read_table(spark, out, "decoded")
+
+
 @once
 def streamed_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    lines = read_event_lines(spark, file_log(spark, sf_dir))
-    seq = F.get_json_object("value", "$.event_seq").cast("bigint")
-    return streamed(spark, sf_dir, "streamed_files", lines.select(seq.alias("event_seq"), "value"))
+    return streamed(spark, sf_dir, "streamed_files", repeated_file_lines(spark, sf_dir))
 
 
 @once
 def streamed_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return streamed(spark, sf_dir, "streamed_runs", run_event_lines(spark, sf_dir))
+    return streamed(spark, sf_dir, "streamed_runs", run_event_lines(spark, sf_dir).withColumn("turn", F.lit(0)))
 
 
 @once

@@ -194,6 +194,18 @@ def ing_4(spark, sf):
     return EV.quarantine(X.run_decoded(spark, sf)).select("event_seq", "item", "reason")
 
 
+@query(
+    over(
+        "m",
+        """SELECT DISTINCT run_id, event_seq, 'file_extraction' AS event_type, CAST(NULL AS VARCHAR) AS reason FROM m
+UNION ALL SELECT DISTINCT run_id, event_seq, 'file_extraction', 'key_conflict' FROM m WHERE event_seq % 11 = 0""",
+    )
+)
+def ing_4_conflicts(spark, sf):
+    """A log with replays and with other texts under keys in use: each event once, each other text set aside once."""
+    return X.repeated_decoded(spark, sf).select("run_id", "event_seq", "event_type", "reason")
+
+
 @query(over("folded", "SELECT run_id, repository_url, branch, triggered_by FROM folded"))
 def ing_5(spark, sf):
     return IR.fold_runs(X.run_decoded(spark, sf)).select("run_id", "repository_url", "branch", "triggered_by")
@@ -955,6 +967,17 @@ def str_2(spark, sf):
     )
 
 
+@query(over("m", "SELECT DISTINCT run_id, event_seq, 'event' AS item, 'key_conflict' AS reason FROM m WHERE event_seq % 11 = 0"))
+def str_1_conflicts(spark, sf):
+    """Other texts under keys that an earlier or the same landing has used."""
+    return X.streamed_files(spark, sf)["quarantine"].select("run_id", "event_seq", "item", "reason")
+
+
+@query(over("links", "SELECT * FROM links"))
+def str_1_links(spark, sf):
+    return X.streamed_files(spark, sf)["asset_files"].drop("run_bucket", "batch_id")
+
+
 @query(over("a", "SELECT * FROM a"))
 def str_2_assets(spark, sf):
     return X.streamed_files(spark, sf)["assets"].drop("first_tie", "first_pos", "run_bucket", "batch_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+from contextlib import redirect_stdout
 
 
 def event(kind, run, seq, data, time="2024-01-01T10:00:00", **more):
@@ -26,7 +28,7 @@ def lines(spark, *texts):
 
 
 def decoded(spark, *texts):
-    from edgeloom.sources.events import decode_lines
+    from edgeloom.sources.replays import decode_lines
 
     return decode_lines(lines(spark, *texts))
 
@@ -52,3 +54,10 @@ def ingested(spark, *texts):
 
 def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def plan(df) -> str:
+    text = io.StringIO()
+    with redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()

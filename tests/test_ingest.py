@@ -6,6 +6,7 @@ from edgeloom.operators import ingest_assets as A
 from edgeloom.operators import ingest_edges as G
 from edgeloom.operators import ingest_files as FI
 from edgeloom.sources import events as EV
+from edgeloom.sources.replays import decode_lines
 from tests.helpers import decoded, edge, event, file_event, ingested, lines, rows, table
 
 
@@ -147,9 +148,9 @@ def test_bad_values_go_to_quarantine_alone(spark):
 
 def test_replays_are_dropped(spark):
     one = file_event("r", 1, tables=[table("a")])
-    d = EV.decode_lines(lines(spark, one, one, one, file_event("r", 2, tables=[table("a")])))
+    d = decode_lines(lines(spark, one, one, one, file_event("r", 2, tables=[table("a")])))
     assert rows(d, "event_seq") == [(1,), (2,)]
-    assert EV.decode_lines(lines(spark, one, one), replays=False).count() == 2
+    assert decode_lines(lines(spark, one, one), replays=False).count() == 2
 
 
 def test_lines_without_sequence_are_ordered_by_time(spark):

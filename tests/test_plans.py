@@ -1,27 +1,17 @@
 """What the plans must and must not hold."""
 
-import io
-from contextlib import redirect_stdout
-
 import pytest
 
 from edgeloom.operators import lineage as LI
 from edgeloom.plans.ingest import ingest
 from edgeloom.workload import QUERIES
 from edgeloom.workload import fixtures as X
-from tests.helpers import edge, file_event, lines, table
+from tests.helpers import edge, file_event, lines, plan, table
 
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df) -> str:
-    text = io.StringIO()
-    with redirect_stdout(text):
-        df.explain("formatted")
-    return text.getvalue()
-
-
-STREAMED = {"str_1", "str_2", "str_2_assets", "str_2_columns", "str_3"}
+STREAMED = {"str_1", "str_1_conflicts", "str_1_links", "str_2", "str_2_assets", "str_2_columns", "str_3"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in STREAMED])
@@ -59,3 +49,16 @@ def test_decoded_branches_do_not_open_other_arrays(spark):
 
     text = plan(FI.file_records(X.lake(spark, SF)["decoded"]))
     assert "edges" not in [s for s in text.split("\n") if s.startswith("ReadSchema")][0]
+
+
+def test_replays_are_found_without_moving_lines(spark):
+    """No text and no payload is shuffled to find replays; lines that are not odd are decoded where they were read."""
+    from edgeloom.sources import replays as RE
+
+    log = lines(spark, *[file_event("r", i % 7) for i in range(9)])
+    assert RE.odd_lines(log).count() == 2 and RE.odd_lines(log.distinct()) is None
+    counted = RE.line_keys(log).groupBy("run_id", "event_seq", "event_tie").count()
+    for df in (counted, RE.settled(log, None)):
+        for part in plan(df).split("\n\n"):
+            if part.strip().startswith("(") and "Exchange" in part.split("\n")[0]:
+                assert "value" not in part and "line" not in part and "data" not in part

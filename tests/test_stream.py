@@ -1,7 +1,9 @@
 """The streamed ingest gives the tables of the batch ingest, also when lines are replayed."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.plans.ingest import ingest
@@ -10,7 +12,7 @@ from edgeloom.sources.events import read_event_lines
 from edgeloom.sources.tables import write_logs
 from edgeloom.streaming.ingest import read_stream_lake, start_ingest
 from edgeloom.streaming.log_tail import start_tail
-from tests.helpers import edge, event, file_event, rows, table
+from tests.helpers import edge, event, file_event, plan, rows, table
 
 FIRST = [
     event("extraction_run_started", "r", 1, {"repositoryUrl": "u", "branch": "b", "triggeredBy": "t"}),
@@ -28,6 +30,17 @@ SECOND = [
 ]
 THIRD = [SECOND[1], event("extraction_run_failed", "r", 7, {"error": "e"}), file_event("q", 8, lineageEdges=[edge("a", "a")])]
 
+
+
+def stream(spark, tmp_path, *landings):
+    """One micro-batch per landing."""
+    (tmp_path / "landing").mkdir()
+    for i, texts in enumerate(landings):
+        (tmp_path / "landing" / f"{i}.json").write_text("\n".join(texts) + "\n")
+        start_ingest(spark, str(tmp_path / "landing"), str(tmp_path / "stream"), str(tmp_path / "cp")).awaitTermination()
+    return read_stream_lake(spark, str(tmp_path / "stream"))
+
+
 COMPARED = {
     "files": ["file_id", "run_id", "status"],
     "assets": ["asset_id", "run_id", "short_name", "schema_name", "role", "first_seq"],
@@ -42,14 +55,8 @@ COMPARED = {
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    landing = tmp_path / "landing"
-    landing.mkdir()
-    out = str(tmp_path / "stream")
-    for i, texts in enumerate((FIRST, SECOND, THIRD)):
-        (landing / f"{i}.json").write_text("\n".join(texts) + "\n")
-        start_ingest(spark, str(landing), out, str(tmp_path / "cp")).awaitTermination()
-    streamed = read_stream_lake(spark, out)
-    batch = ingest(read_event_lines(spark, str(landing)), str(tmp_path / "batch"))
+    streamed = stream(spark, tmp_path, FIRST, SECOND, THIRD)
+    batch = ingest(read_event_lines(spark, str(tmp_path / "landing")), str(tmp_path / "batch"))
     for name, columns in COMPARED.items():
         assert rows(streamed[name], *columns) == rows(batch[name], *columns), name
     assert rows(batch["extraction_runs"], "run_id", "phase") == [("q", "STARTED"), ("r", "FAILED")]
@@ -58,12 +65,12 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    from edgeloom.streaming.ingest import apply_batch, prepare
+    from edgeloom.streaming.ingest import apply_batch, prepare, unseen
 
     out = str(tmp_path / "out")
     prepare(spark, out)
-    for batch_id, texts in ((0, FIRST), (1, SECOND), (1, SECOND)):
-        apply_batch(spark.createDataFrame([(t,) for t in texts], "value string"), batch_id, out)
+    for batch_id, texts in ((0, FIRST), (1, SECOND[1:]), (1, SECOND[1:])):
+        apply_batch(unseen(spark.createDataFrame([(t,) for t in texts], "value string")), batch_id, out)
     tables = read_stream_lake(spark, out)
     assert tables["files"].count() == 3
     assert tables["lineage"].count() == 2
@@ -94,14 +101,89 @@ def test_container_logs_and_tail(spark, tmp_path):
 
 
 def test_a_corrected_event_is_new_and_a_repeated_bad_line_is_not(spark, tmp_path):
-    from edgeloom.streaming.ingest import apply_batch, prepare
-    from tests.helpers import file_event
-
-    out = str(tmp_path / "out")
-    prepare(spark, out)
     bad, good = file_event("r", 1).replace("2024-01-01T10:00:00", "no time"), file_event("r", 1)
-    for batch_id, texts in ((0, [bad]), (1, [good, bad]), (2, [good])):
-        apply_batch(spark.createDataFrame([(t,) for t in texts], "value string"), batch_id, out)
-    tables = read_stream_lake(spark, out)
+    tables = stream(spark, tmp_path, [bad], [good, bad], [good])
     assert tables["files"].count() == 1
     assert rows(tables["quarantine"], "reason") == [("bad_timestamp",)]
+
+
+def shuffled_log(seed):
+    """Events of two runs whose tables are mentioned early, late, again and never, in an order of its own."""
+    rng = random.Random(seed)
+    names = ["a", "b", "c", "d", "e"]
+    log = []
+    for seq in range(1, 25):
+        tables = [table(rng.choice(names), rng.choice(["source", "target", "other"]), schema=f"s{seq}", columns=rng.sample(["x", "y", "X"], 2)) for _ in range(rng.randint(0, 2))]
+        edges = [edge(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(0, 3))]
+        log.append(file_event(rng.choice("qr"), seq, tables=tables, lineageEdges=edges))
+    rng.shuffle(log)
+    return log
+
+
+def test_any_order_of_landing_gives_the_batch_tables(spark, tmp_path):
+    log = shuffled_log(1)
+    streamed = stream(spark, tmp_path, log[:6], log[6:14], [*log[14:], *log[:3]])
+    batch = ingest(read_event_lines(spark, str(tmp_path / "landing")), str(tmp_path / "batch"))
+    for name, columns in COMPARED.items():
+        assert rows(streamed[name], *columns) == rows(batch[name], *columns), name
+    assert spark.read.parquet(str(tmp_path / "stream" / "edge_fixes")).count() > 0
+
+
+def test_a_conflict_over_two_batches_is_set_aside_once(spark, tmp_path):
+    first, other, third = (file_event("r", 1, fileHash=h) for h in "abc")
+    tables = stream(spark, tmp_path, [first, file_event("r", 2)], [other, first], [other, third, third])
+    assert tables["files"].count() == 2
+    assert rows(tables["quarantine"], "reason", "line") == [("key_conflict", other), ("key_conflict", third)]
+    assert rows(tables["files"].filter("event_seq = 1"), "file_hash") == [("a",)]
+
+
+def test_half_a_batch_is_invisible(spark, tmp_path, monkeypatch):
+    from edgeloom.streaming import ingest as ING
+
+    out = str(tmp_path / "out")
+    ING.prepare(spark, out)
+
+    def one(batch_id, texts):
+        ING.apply_batch(ING.unseen(spark.createDataFrame([(t,) for t in texts], "value string")), batch_id, out)
+
+    one(0, FIRST)
+    before = {name: rows(read_stream_lake(spark, out)[name], *columns) for name, columns in COMPARED.items()}
+
+    def lost(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ING.A, "asset_links", lost)
+        with pytest.raises(RuntimeError):
+            one(1, SECOND[1:])
+    assert {name: rows(read_stream_lake(spark, out)[name], *columns) for name, columns in COMPARED.items()} == before
+    one(1, SECOND[1:])
+    assert read_stream_lake(spark, out)["files"].count() == 3
+
+
+def test_compaction_keeps_the_tables_and_the_stream_goes_on(spark, tmp_path):
+    from edgeloom.streaming import store as ST
+
+    log, out = shuffled_log(3), str(tmp_path / "stream")
+    stream(spark, tmp_path, log[:6], log[6:12])
+    before = {name: rows(read_stream_lake(spark, out)[name], *columns) for name, columns in COMPARED.items()}
+    assert ST.compact(spark, out) == 1 and ST.compact(spark, out) == 1
+    ST.drop_compacted(spark, out)
+    assert {name: rows(read_stream_lake(spark, out)[name], *columns) for name, columns in COMPARED.items()} == before
+    assert not list((tmp_path / "stream" / "edges").glob("batch_id=*"))
+    files = [p for p in (tmp_path / "stream" / "compacted" / "1" / "assets").rglob("*.parquet")]
+    assert 0 < len(files) <= 2  # one per run bucket at most
+    (tmp_path / "landing" / "9.json").write_text("\n".join(log[12:]) + "\n")
+    start_ingest(spark, str(tmp_path / "landing"), out, str(tmp_path / "cp")).awaitTermination()
+    streamed = read_stream_lake(spark, out)
+    batch = ingest(read_event_lines(spark, str(tmp_path / "landing")), str(tmp_path / "batch"))
+    for name, columns in COMPARED.items():
+        assert rows(streamed[name], *columns) == rows(batch[name], *columns), name
+
+
+def test_a_batch_does_not_read_earlier_events(spark, tmp_path):
+    """Replays are told by state: the plan that finds the new lines scans what has landed, and nothing stored."""
+    from edgeloom.streaming.ingest import unseen
+
+    text = plan(unseen(spark.createDataFrame([(FIRST[0],)], "value string")))
+    assert "decoded" not in text and "Join" not in text
