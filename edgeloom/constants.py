@@ -46,6 +46,9 @@ UPSTREAM, DOWNSTREAM = "upstream", "downstream"
 # Layout of the stored tables: rows are spread over this many directories by run.
 RUN_BUCKETS = 64
 
+# Layout of the copies by name.
+NAME_BUCKETS = 64
+
 # Order of arrival. `event_tie` is 0 unless the landed line carries no sequence number.
 ARRIVAL = ["event_seq", "event_tie"]
 EVENT_KEY = ["run_id", "event_seq", "event_tie"]

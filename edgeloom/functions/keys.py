@@ -24,6 +24,12 @@ def run_bucket(run_id: Column | str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(C.RUN_BUCKETS)).cast("int")
 
 
+def name_bucket(name_key: Column | str) -> Column:
+    """Storage bucket of a name in upper case; folds to a constant for a literal."""
+    c = F.col(name_key) if isinstance(name_key, str) else name_key
+    return F.pmod(F.xxhash64(c), F.lit(C.NAME_BUCKETS)).cast("int")
+
+
 def arrival(*extra: str) -> Column:
     """Total order of arrival, as one comparable value."""
     return F.struct(*[F.col(c) for c in (*C.ARRIVAL, *extra)])

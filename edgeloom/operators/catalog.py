@@ -35,8 +35,8 @@ def asset_by_short_name(assets: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def assets_by_name(assets: DataFrame, names: Ids = None) -> DataFrame:
-    """Assets of a name over all runs, any case. `name_key` is the name all of them share."""
-    keyed = assets.withColumn("name_key", F.upper("short_name"))
+    """Assets of a name over all runs, any case. `name_key` is the name all of them share; the copy by name has it stored."""
+    keyed = assets if "name_key" in assets.columns else assets.withColumn("name_key", F.upper("short_name"))
     return pick(keyed, "name_key", upper_names(names))
 
 

@@ -12,17 +12,25 @@ from edgeloom.functions import keys as K
 Ids = DataFrame | Sequence[str] | str | None
 
 
+#: Columns by which stored tables are laid out, with the directory column and the expression that gives it.
+BUCKETED = {"run_id": ("run_bucket", K.run_bucket), "name_key": ("name_bucket", K.name_bucket)}
+
+
 def pick(df: DataFrame, on: str, ids: Ids) -> DataFrame:
-    """Rows of the asked ids; none = all. Literals reach the scan as a filter, a DataFrame is a semi join."""
+    """Rows of the asked ids; none = all. Literals reach the scan as a filter, a DataFrame is a semi join. Where the table
+    lies in directories by this column, the bucket is asked too: literals prune as the query is planned, a DataFrame as it
+    runs."""
     if ids is None:
         return df
+    bucket, of = BUCKETED.get(on, ("", None))
+    bucketed = bucket in df.columns
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(on)).distinct(), on, "left_semi")
+        asked = ids.select(F.col(ids.columns[0]).alias(on)).distinct()
+        asked = asked.withColumn(bucket, of(on)) if bucketed else asked
+        return df.join(asked, asked.columns, "left_semi").select(*df.columns)
     values = [ids] if isinstance(ids, str) else list(ids)
     picked = df.filter(F.col(on).isin(*values))
-    if on == "run_id" and "run_bucket" in df.columns:
-        picked = picked.filter(F.col("run_bucket").isin(*[K.run_bucket(F.lit(v)) for v in values]))
-    return picked
+    return picked.filter(F.col(bucket).isin(*[of(F.lit(v)) for v in values])) if bucketed else picked
 
 
 def newest(df: DataFrame, by: Sequence[str | Column], order: Sequence[str]) -> DataFrame:

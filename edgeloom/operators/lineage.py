@@ -36,11 +36,19 @@ def edges_out_of(lineage: DataFrame, assets: Ids = None) -> DataFrame:
 
 
 def edges_into_name(lineage: DataFrame, names: Ids = None) -> DataFrame:
-    return pick(lineage.withColumn("name_key", F.upper("to_short")), "name_key", upper_names(names))
+    return _at_name(lineage, C.UPSTREAM, "to_short", names)
 
 
 def edges_out_of_name(lineage: DataFrame, names: Ids = None) -> DataFrame:
-    return pick(lineage.withColumn("name_key", F.upper("from_short")), "name_key", upper_names(names))
+    return _at_name(lineage, C.DOWNSTREAM, "from_short", names)
+
+
+def _at_name(lineage: DataFrame, direction: str, end: str, names: Ids) -> DataFrame:
+    if "name_key" in lineage.columns:
+        rows = lineage.filter(F.col("direction") == direction).drop("direction", "neighbor", "neighbor_full")
+    else:
+        rows = lineage.withColumn("name_key", F.upper(end))
+    return pick(rows, "name_key", upper_names(names))
 
 
 def _lines() -> Column:
@@ -79,8 +87,12 @@ def unknown_names(assets: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def _seen_from(lineage: DataFrame, direction: str | None, names: Ids) -> DataFrame:
-    """Edges from the side of their centre: `direction`, `name_key`, and the neighbour's names."""
+def seen_from(lineage: DataFrame, direction: str | None = None, names: Ids = None) -> DataFrame:
+    """Edges from the side of their centre: `direction`, `name_key`, and the neighbour's names. The copy by name is stored
+    in this form, so asked names and a direction read only the directories and row groups that hold them."""
+    if "name_key" in lineage.columns:
+        rows = lineage if direction is None else lineage.filter(F.col("direction") == direction)
+        return pick(rows, "name_key", upper_names(names))
 
     def side(label: str, centre: str, neighbour: str) -> Column:
         return F.struct(
@@ -102,7 +114,7 @@ def with_centres(rows: DataFrame, assets: DataFrame, names: Ids) -> DataFrame:
 def neighbours(assets: DataFrame, lineage: DataFrame, direction: str | None = None, names: Ids = None) -> DataFrame:
     """Neighbours of each centre by exact name. The full name comes from the first edge."""
     rows = (
-        _seen_from(lineage, direction, names)
+        seen_from(lineage, direction, names)
         .groupBy("direction", "name_key", "neighbor")
         .agg(F.min_by("neighbor_full", edge_order()).alias("neighbor_full"), F.count(F.lit(1)).alias("n_edges"))
     )
@@ -115,7 +127,7 @@ def distinct_transformations(lineage: DataFrame, direction: str | None, names: I
     """Transformations per neighbour: same file, lines and type count once; null and empty are the same. The
     first edge lends its values."""
     columns = ["file_path", "start_line", "end_line", "transformation_type"]
-    keyed = _seen_from(lineage, direction, names).select(
+    keyed = seen_from(lineage, direction, names).select(
         "direction",
         "name_key",
         "neighbor",
@@ -152,7 +164,7 @@ def is_column_pair() -> Column:
 
 def column_pairs(lineage: DataFrame, direction: str | None, names: Ids) -> DataFrame:
     """Column pairs of each centre, the first edge kept. The pair key spells a missing column `null`."""
-    keyed = _seen_from(lineage.filter(is_column_pair()), direction, names).select(
+    keyed = seen_from(lineage.filter(is_column_pair()), direction, names).select(
         "direction",
         "name_key",
         "neighbor",
@@ -200,6 +212,26 @@ def names_of_assets(assets: DataFrame, ids: Ids = None) -> DataFrame:
     return pick(assets, "asset_id", ids).select("asset_id", F.upper("short_name").alias("name_key"))
 
 
+def entities_of_assets(assets: DataFrame, ids: Ids = None) -> DataFrame:
+    """Asset ids with the entity they stand for: the newest asset of their name."""
+    asked = names_of_assets(assets, ids)
+    return asked.join(centres(assets, None if ids is None else asked.select("name_key").distinct()), "name_key").drop("name_key")
+
+
+def answers_of_assets(
+    assets: DataFrame, lineage: DataFrame, direction: str | None = None, ids: Ids = None
+) -> dict[str, DataFrame]:
+    """The whole lineage answer by asset id, each part once per name: `ids` says which entity an id stands for, and
+    `neighbours`, `transformations` and `pairs` have the rows of each entity. So assets that share a name share rows."""
+    names = None if ids is None else names_of_assets(assets, ids).select("name_key").distinct()
+    return {
+        "ids": entities_of_assets(assets, ids),
+        "neighbours": neighbours(assets, lineage, direction, names),
+        "transformations": transformations(assets, lineage, direction, names),
+        "pairs": column_lineage(assets, lineage, direction, names),
+    }
+
+
 def lineage_of_assets(
     assets: DataFrame, lineage: DataFrame, direction: str | None = None, ids: Ids = None
 ) -> DataFrame:

@@ -16,6 +16,7 @@ from edgeloom import constants as C
 from edgeloom.plans.ingest import ingest
 from edgeloom.session import tune, work_dir
 from edgeloom.sources.events import read_event_lines
+from edgeloom.sources.names import read_by_name, write_by_name
 from edgeloom.sources.replays import decode_lines
 from edgeloom.sources.tables import read_table
 from edgeloom.streaming.ingest import read_stream_lake, start_ingest
@@ -155,6 +156,30 @@ def lake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return ingest(read_event_lines(spark, file_log(spark, sf_dir)), place(spark, sf_dir, "lake"))
 
 
+@once
+def by_name(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The copies of assets and edges by name."""
+    tables, out = lake(spark, sf_dir), place(spark, sf_dir, "by_name")
+    write_by_name(tables["assets"], tables["lineage"], out)
+    return read_by_name(spark, out)
+
+
+@once
+def lower_lake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """As `lake`, with all table names in lower case: the newest asset of each name then has edges of its own."""
+    tune(spark)
+    lines = read_event_lines(spark, file_log(spark, sf_dir))
+    lowered = lines.select(F.regexp_replace("value", '"name":"TBL_', '"name":"tbl_').alias("value"))
+    return ingest(lowered, place(spark, sf_dir, "lower_lake"))
+
+
+def asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One asked name per part, in mixed case; a third of them name nothing, and all but 60 are repeats."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("position"), _text("Tbl_", F.col("p_partkey") % 60).alias("asked_id")
+    )
+
+
 # --- the run event log: one event or cancel request per row of the events table ----------------------------------
 
 

@@ -54,6 +54,10 @@ def _lit_time(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+#: Names that are asked for, in the key they are compared by: one per part, a third of them unknown.
+_ASKED = "SELECT concat('TBL_', CAST(p_partkey % 60 AS VARCHAR)) FROM part"
+
+
 # --- sources and sinks ------------------------------------------------------------------------------------------
 
 
@@ -678,6 +682,27 @@ def ast_17(spark, sf):
     return EN.asset_details(lake["assets"], lake["lineage"], lake["asset_columns"])
 
 
+@query(
+    over(
+        "a c col",
+        """SELECT a.asset_id, col.column_name, 'varchar' AS column_type
+FROM a JOIN c ON c.name_key = upper(a.short_name) JOIN col ON col.asset_id = c.asset_id AND col.role = 'TARGET'""",
+        lower=True,
+    )
+)
+def ast_17_columns(spark, sf):
+    """The column list of every asset's detail."""
+    lake = X.lower_lake(spark, sf)
+    return EN.detail_columns(lake["assets"], lake["asset_columns"])
+
+
+@query(over("c", f"SELECT name_key, asset_id, short_name, full_name, created_at FROM c WHERE name_key IN ({_ASKED})"))
+def ast_12_asked(spark, sf):
+    """The newest asset of asked names, from the copy by name."""
+    newest = CA.newest_by_name(X.by_name(spark, sf)["assets"], X.asked_names(spark, sf).select("asked_id"))
+    return newest.select("name_key", "asset_id", "short_name", "full_name", "created_at")
+
+
 @query(over("cm", "SELECT run_id, event_seq, pos, column_pos, column_name FROM cm"))
 def col_1(spark, sf):
     named = IA.column_mentions(IA.asset_mentions(X.lake(spark, sf)["decoded"]))
@@ -827,6 +852,32 @@ def edg_14(spark, sf):
     return NE.edge_details_as_json(LI.edge_details(X.lake(spark, sf)["lineage"]))
 
 
+@query(over("e", f"SELECT upper(to_short) AS name_key, lineage_id, run_id, from_short, to_short, edge_type FROM e WHERE upper(to_short) IN ({_ASKED})"))
+def edg_12_asked(spark, sf):
+    """Edges into asked names, from the copy by name."""
+    asked = X.asked_names(spark, sf).select("asked_id")
+    return LI.edges_into_name(X.by_name(spark, sf)["lineage"], asked).select("name_key", *EDGE_VIEW)
+
+
+@query(over("e", f"SELECT upper(from_short) AS name_key, lineage_id, run_id, from_short, to_short, edge_type FROM e WHERE upper(from_short) IN ({_ASKED})"))
+def edg_13_asked(spark, sf):
+    """Edges out of asked names, from the copy by name."""
+    asked = X.asked_names(spark, sf).select("asked_id")
+    return LI.edges_out_of_name(X.by_name(spark, sf)["lineage"], asked).select("name_key", *EDGE_VIEW)
+
+
+@query(over("e c", "SELECT lineage_id, run_id, from_short, to_short, edge_type FROM e WHERE to_asset_id IN (SELECT asset_id FROM c)", lower=True))
+def edg_10_lower(spark, sf):
+    lake = X.lower_lake(spark, sf)
+    return LI.edges_into(lake["lineage"], CA.newest_by_name(lake["assets"]).select("asset_id")).select(*EDGE_VIEW)
+
+
+@query(over("e c", "SELECT lineage_id, run_id, from_short, to_short, edge_type FROM e WHERE from_asset_id IN (SELECT asset_id FROM c)", lower=True))
+def edg_11_lower(spark, sf):
+    lake = X.lower_lake(spark, sf)
+    return LI.edges_out_of(lake["lineage"], CA.newest_by_name(lake["assets"]).select("asset_id")).select(*EDGE_VIEW)
+
+
 # --- search and entities ----------------------------------------------------------------------------------------
 
 SEARCHES = [" TBL_1 ", "sch_2", "_", "%", "", "unknown_schema.tbl_3", "9"]
@@ -883,6 +934,45 @@ def ent_3(spark, sf):
     return EN.bulk_entities(lake["assets"], lake["lineage"], lake["asset_columns"], asked)
 
 
+@query(over("pairs", "SELECT * FROM pairs", lower=True))
+def ent_2_lower(spark, sf):
+    lake = X.lower_lake(spark, sf)
+    return EN.entity_pairs(lake["assets"], lake["lineage"]).drop("at")
+
+
+@query(over("ent", "SELECT * EXCLUDE (asset_id), upstream_count > 0 AS has_upstream, downstream_count > 0 AS has_downstream FROM ent", lower=True))
+def ent_1_lower(spark, sf):
+    lake = X.lower_lake(spark, sf)
+    return EN.entities(lake["assets"], lake["lineage"], lake["asset_columns"])
+
+
+@query(
+    over(
+        "c col",
+        """SELECT p.p_partkey AS position, c.short_name AS entity_id, col.asset_column_id, col.column_name, 'varchar' AS column_type
+FROM part p JOIN c ON c.name_key = concat('TBL_', CAST(p.p_partkey % 60 AS VARCHAR))
+JOIN col ON col.asset_id = c.asset_id AND col.role = 'TARGET'""",
+        lower=True,
+    )
+)
+def ent_3_columns(spark, sf):
+    lake = X.lower_lake(spark, sf)
+    return EN.bulk_columns(lake["assets"], lake["asset_columns"], X.asked_names(spark, sf))
+
+
+@query(
+    over(
+        "pairs",
+        """SELECT p.p_partkey AS position, pairs.*
+FROM part p JOIN pairs ON upper(pairs.entity_id) = concat('TBL_', CAST(p.p_partkey % 60 AS VARCHAR))""",
+        lower=True,
+    )
+)
+def ent_3_pairs(spark, sf):
+    lake = X.lower_lake(spark, sf)
+    return EN.bulk_pairs(lake["assets"], lake["lineage"], X.asked_names(spark, sf))
+
+
 # --- lineage ----------------------------------------------------------------------------------------------------
 
 
@@ -950,6 +1040,42 @@ def lin_6(spark, sf):
     return LI.lineage_of_assets(lake["assets"], lake["lineage"])
 
 
+@query(over("nb", f"SELECT * FROM nb WHERE upper(entity_id) IN ({_ASKED})"))
+def lin_2_asked(spark, sf):
+    """Neighbours of asked names, from the copies by name."""
+    copies = X.by_name(spark, sf)
+    return LI.neighbours(copies["assets"], copies["lineage"], names=X.asked_names(spark, sf).select("asked_id"))
+
+
+@query(over("a c", "SELECT a.asset_id, c.short_name AS entity_id, c.full_name AS entity_name FROM a JOIN c ON c.name_key = upper(a.short_name)"))
+def lin_6_ids(spark, sf):
+    """The entity that each asset id stands for."""
+    return LI.entities_of_assets(X.lake(spark, sf)["assets"])
+
+
+@query(
+    over(
+        "a c nb tr cp",
+        """SELECT a.asset_id, d.direction, c.short_name AS entity_id,
+  (SELECT count(*) FROM nb WHERE nb.direction = d.direction AND nb.entity_id = c.short_name) AS n_neighbours,
+  (SELECT count(*) FROM tr WHERE tr.direction = d.direction AND tr.entity_id = c.short_name) AS n_transformations,
+  (SELECT count(*) FROM cp WHERE cp.direction = d.direction AND cp.entity_id = c.short_name) AS n_pairs
+FROM a JOIN c ON c.name_key = upper(a.short_name), (VALUES ('upstream'), ('downstream')) AS d(direction)""",
+    )
+)
+def lin_6_answer(spark, sf):
+    """The whole answer of every asset id: how many neighbours, transformations and column pairs it shares."""
+    lake = X.lake(spark, sf)
+    parts = LI.answers_of_assets(lake["assets"], lake["lineage"])
+    both = F.explode(F.array(F.lit(C.UPSTREAM), F.lit(C.DOWNSTREAM))).alias("direction")
+    rows = parts["ids"].select("asset_id", both, "entity_id")
+    for name in ("neighbours", "transformations", "pairs"):
+        counted = parts[name].groupBy("direction", "entity_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        rows = rows.join(counted, ["direction", "entity_id"], "left")
+    zero = F.lit(0).cast("bigint")
+    return rows.withColumns({f"n_{n}": F.coalesce(f"n_{n}", zero) for n in ("neighbours", "transformations", "pairs")})
+
+
 # --- streaming --------------------------------------------------------------------------------------------------
 
 

@@ -7,15 +7,14 @@ def sid(*parts: str) -> str:
     return "sha256(concat_ws(chr(1), " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
 
 
-VIEWS = {
-    # Table mentions and edges: one per lineitem row.
-    "m0": """
+def _mentions(spelling: str) -> str:
+    return f"""
 SELECT concat('run-', CAST(l_suppkey AS VARCHAR)) AS run_id, l_orderkey AS event_seq,
   CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS INTEGER) - 1
     AS pos,
   CAST('2020-01-01' AS DATE) + CAST(floor(l_orderkey / 100) AS INTEGER) AS event_date,
   concat('models/order_', CAST(l_orderkey AS VARCHAR), '.sql') AS file_path,
-  CASE WHEN l_linenumber % 5 = 0 THEN upper(concat('tbl_', CAST(l_partkey % 40 AS VARCHAR)))
+  CASE WHEN l_linenumber % 5 = 0 THEN {spelling}(concat('tbl_', CAST(l_partkey % 40 AS VARCHAR)))
     ELSE concat('tbl_', CAST(l_partkey % 40 AS VARCHAR)) END AS name,
   CASE l_returnflag WHEN 'A' THEN 'SOURCE' WHEN 'R' THEN 'target' ELSE 'other' END AS stated_role,
   CASE l_returnflag WHEN 'A' THEN 'SOURCE' WHEN 'R' THEN 'TARGET' ELSE 'INTERMEDIATE' END AS role,
@@ -29,7 +28,12 @@ SELECT concat('run-', CAST(l_suppkey AS VARCHAR)) AS run_id, l_orderkey AS event
   l_linenumber AS start_line, l_linenumber + 5 AS end_line,
   CASE WHEN l_linenumber % 2 = 1 THEN 0 WHEN l_linestatus = 'F' AND l_linenumber % 4 = 0 THEN 2
     WHEN l_linestatus = 'F' THEN 4 WHEN l_linenumber % 4 = 0 THEN 3 ELSE 1 END AS array_no
-FROM lineitem""",
+FROM lineitem"""
+
+
+VIEWS = {
+    # Table mentions and edges: one per lineitem row.
+    "m0": _mentions("upper"),
     "m": """
 SELECT *, CAST(row_number() OVER (PARTITION BY run_id, event_seq ORDER BY array_no, pos) AS INTEGER) - 1 AS edge_pos,
   CAST(event_date AS TIMESTAMP) AS event_time
@@ -204,8 +208,9 @@ NEEDS = {
 }
 
 
-def over(views: str, body: str) -> str:
-    """`body` over the named views and those they need."""
+def over(views: str, body: str, lower: bool = False) -> str:
+    """`body` over the named views and those they need; `lower`: of the log with all table names in lower case."""
+    known = VIEWS | ({"m0": _mentions("lower")} if lower else {})
     wanted: list[str] = []
 
     def add(name: str) -> None:
@@ -216,4 +221,4 @@ def over(views: str, body: str) -> str:
 
     for name in views.split():
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in wanted) + "\n" + body.strip()
+    return "WITH " + ",\n".join(f"{n} AS ({known[n].strip()})" for n in wanted) + "\n" + body.strip()

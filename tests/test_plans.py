@@ -62,3 +62,18 @@ def test_replays_are_found_without_moving_lines(spark):
         for part in plan(df).split("\n\n"):
             if part.strip().startswith("(") and "Exchange" in part.split("\n")[0]:
                 assert "value" not in part and "line" not in part and "data" not in part
+
+
+def test_a_question_by_name_reads_its_directory_and_pushes_the_name(spark):
+    copies = X.by_name(spark, SF)
+    for df in (LI.edges_into_name(copies["lineage"], "tbl_3"), LI.neighbours(copies["assets"], copies["lineage"], "upstream", ["tbl_3", "Tbl_4"])):
+        parts, pushed = ([x for x in plan(df).split("\n") if x.startswith(kind)] for kind in ("PartitionFilters", "PushedFilters"))
+        assert parts and all("name_bucket" in x for x in parts)
+        assert len(pushed) == len(parts) and all("(name_key" in x for x in pushed)
+    assert LI.edges_into_name(copies["lineage"], "tbl_3").count() == LI.edges_into_name(X.lake(spark, SF)["lineage"], "tbl_3").count() > 0
+
+
+def test_asked_names_prune_while_running(spark):
+    copies = X.by_name(spark, SF)
+    text = plan(LI.edges_into_name(copies["lineage"], X.asked_names(spark, SF).filter("position < 4").select("asked_id")))
+    assert "dynamicpruning" in text.lower()
