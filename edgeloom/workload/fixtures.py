@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom import constants as C
+from edgeloom.operators.catalog import ASSET_ORDER
+from edgeloom.operators.name_search import read_name_index, write_name_index
+from edgeloom.operators.paging import RankedTable, write_ranked
 from edgeloom.plans.ingest import ingest
 from edgeloom.session import tune, work_dir
 from edgeloom.sources.events import read_event_lines
@@ -173,6 +176,36 @@ def lower_lake(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return ingest(lowered, place(spark, sf_dir, "lower_lake"))
 
 
+@once
+def ranked_assets(spark: SparkSession, sf_dir: str) -> RankedTable:
+    """Assets stored for pages in the order of the catalogue."""
+    out, order = place(spark, sf_dir, "ranked_assets"), [F.asc(c) for c in ASSET_ORDER]
+    write_ranked(lake(spark, sf_dir)["assets"], order, out)
+    return RankedTable(spark, out, order)
+
+
+@once
+def ranked_logs(spark: SparkSession, sf_dir: str) -> RankedTable:
+    """Logs stored for pages of a run, newest first."""
+    out, order = place(spark, sf_dir, "ranked_logs"), [F.desc("log_time"), F.desc("log_id")]
+    write_ranked(logs(spark, sf_dir), order, out, by=["run_id"])
+    return RankedTable(spark, out, order)
+
+
+@once
+def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = place(spark, sf_dir, "name_index")
+    write_name_index(lake(spark, sf_dir)["assets"], out)
+    return read_name_index(spark, out)
+
+
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search text per part: parts of table and schema names, and names of parts, which no table has."""
+    n = F.col("p_partkey")
+    text = F.when(n % 3 == 0, _text(" BL_", n % 60)).when(n % 3 == 1, _text("sch_", n % 9)).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(text.alias("query"))
+
+
 def asked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One asked name per part, in mixed case; a third of them name nothing, and all but 60 are repeats."""
     return table(spark, sf_dir, "part").select(
@@ -399,6 +432,16 @@ def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The output lines as text files, one per run, in the order of their events."""
+    path = place(spark, sf_dir, "log_files")
+    lines = output_lines(spark, sf_dir).withColumn("message", F.regexp_replace("message", "[\\r\\n]", " "))
+    placed = lines.repartition("run_id").sortWithinPartitions("run_id", "log_time", "message")
+    placed.select("run_id", F.col("message").alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+    return path
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality") == 1, C.SUCCESS).when(F.col("quality") == 0, C.FAILED).otherwise(C.SKIPPED)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom import constants as C
@@ -25,6 +25,7 @@ from edgeloom.operators import ingest_runs as IR
 from edgeloom.operators import jobs as JO
 from edgeloom.operators import lineage as LI
 from edgeloom.operators import logs as LO
+from edgeloom.operators import name_search as NS
 from edgeloom.operators import runs as RU
 from edgeloom.plans import nested as NE
 from edgeloom.sources import container_logs as CL
@@ -88,6 +89,20 @@ def src_2(spark, sf):
     return CL.log_rows(X.output_lines(spark, sf)).select("run_id", "log_level", "message", "log_time", "source")
 
 
+@query("""
+SELECT concat('run-', CAST(user_id AS VARCHAR)) AS run_id,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, message) AS INTEGER) AS line_no, message,
+  CASE WHEN event_type = 'signup' OR (event_type = 'error' AND event_id % 3 <> 0) THEN 'ERROR' ELSE 'INFO' END AS log_level
+FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'Docker container exited with code: 0'
+    WHEN 'error' THEN concat('Docker container exited with code: ', CAST(event_id % 3 AS VARCHAR))
+    WHEN 'signup' THEN concat('Error launching Docker container: ', props) ELSE props END AS message FROM events)""")
+def src_2_files(spark, sf):
+    """Log files read back, each line with its place: the lines of a run are in the order they were written, equal ones too."""
+    rows = CL.read_log_files(spark, X.log_files(spark, sf), range_bytes=4096)
+    order = Window.partitionBy("run_id").orderBy("file", "at")
+    return rows.withColumn("line_no", F.row_number().over(order)).select("run_id", "line_no", "message", "log_level")
+
+
 @query(over("e", "SELECT lineage_id, run_id, from_short, to_short, edge_type FROM e"))
 def src_3(spark, sf):
     return X.lake(spark, sf)["lineage"].select("lineage_id", "run_id", "from_short", "to_short", "edge_type")
@@ -99,6 +114,20 @@ def src_4(spark, sf):
     return TB.scan_page(assets, [F.asc(c) for c in CA.ASSET_ORDER], 2, 20).drop("created_at")
 
 
+@query(
+    over(
+        "a",
+        """SELECT asset_id, run_id, short_name, (SELECT count(*) FROM a) AS total_elements FROM a
+ORDER BY short_name, created_at, asset_id LIMIT 20 OFFSET (SELECT (count(*) // 20 - 1) * 20 FROM a)""",
+    )
+)
+def src_4_deep(spark, sf):
+    """The last full page, found by counts."""
+    ranked = X.ranked_assets(spark, sf)
+    page = ranked.page(ranked.total() // 20 - 1, 20)
+    return page.select("asset_id", "run_id", "short_name", "total_elements")
+
+
 @query(
     over(
         "m a col e links",
@@ -281,6 +310,62 @@ def run_4(spark, sf):
     return IR.register_runs(X.scan_requests(spark, sf)).drop("finished_at", "created_at", "updated_at")
 
 
+REGISTERED = """(SELECT concat('run-', CAST(o_orderkey AS VARCHAR)) AS run_id, concat('repo-', CAST(o_custkey % 50 AS VARCHAR)) AS repository_url,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'main' ELSE lower(o_orderpriority) END AS branch,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'api' ELSE 'cron' END AS triggered_by, o_orderdate AS started_at
+FROM orders WHERE o_orderkey % 9 <> 0)"""
+
+
+@query(
+    over(
+        "folded",
+        f"""SELECT coalesce(g.run_id, f.run_id) AS run_id, coalesce(g.repository_url, f.repository_url) AS repository_url,
+  coalesce(g.branch, f.branch) AS branch, coalesce(g.triggered_by, f.triggered_by) AS triggered_by, coalesce(f.phase, 'STARTED') AS phase,
+  coalesce(g.started_at, f.started_at) AS started_at, f.finished_at
+FROM folded f FULL OUTER JOIN {REGISTERED} g ON g.run_id = f.run_id""",
+    )
+)
+def run_4_runs(spark, sf):
+    """Registered runs together with those that events bring into being."""
+    registered = IR.register_runs(X.scan_requests(spark, sf))
+    folded = IR.fold_runs(X.run_decoded(spark, sf), registered=registered)
+    return folded.select("run_id", "repository_url", "branch", "triggered_by", "phase", "started_at", "finished_at")
+
+
+@query(
+    over(
+        "cancels",
+        f"""SELECT run_id, CAST(-1 AS BIGINT) AS event_seq, 'RUNNING' AS status, 'initialized' AS current_phase, started_at AS last_updated
+FROM {REGISTERED}
+UNION ALL SELECT run_id, event_seq, 'FAILED', 'cancelled', ts FROM cancels
+WHERE outcome = 'applied' OR run_id IN (SELECT run_id FROM {REGISTERED})""",
+    )
+)
+def run_4_jobs(spark, sf):
+    """The job rows of requests: one per registration, one per cancel of a run that is known by then."""
+    registered = IR.register_runs(X.scan_requests(spark, sf))
+    asked = IR.request_jobs(X.run_decoded(spark, sf), X.cancel_requests(spark, sf), registered=registered)
+    return asked.select("run_id", "event_seq", "status", "current_phase", "last_updated")
+
+
+@query(
+    over(
+        "r cancels",
+        f"""SELECT run_id, coalesce(max_by(phase, event_seq), 'STARTED') AS phase, max_by(ts, event_seq) AS finished_at
+FROM (SELECT run_id, event_seq, ts, CASE kind WHEN 'extraction_run_completed' THEN 'COMPLETED' ELSE 'FAILED' END AS phase
+      FROM r WHERE kind IN ('extraction_run_completed', 'extraction_run_failed')
+      UNION ALL SELECT run_id, event_seq, ts, 'FAILED' FROM cancels WHERE outcome = 'applied' OR run_id IN (SELECT run_id FROM {REGISTERED})
+      UNION ALL SELECT run_id, -1, CAST(NULL AS TIMESTAMP), 'STARTED' FROM (SELECT run_id FROM r UNION SELECT run_id FROM {REGISTERED}))
+GROUP BY run_id""",
+    )
+)
+def run_3_registered(spark, sf):
+    """Cancels of runs that events or requests made known."""
+    registered = IR.register_runs(X.scan_requests(spark, sf))
+    folded = IR.fold_runs(X.run_decoded(spark, sf), X.cancel_requests(spark, sf), registered=registered)
+    return folded.select("run_id", "phase", "finished_at")
+
+
 STATUS_SQL = """
 SELECT r.*, j.current_phase, j.last_updated, coalesce(f.total_files, 0) AS total_files,
   coalesce(f.succeeded_files, 0) AS succeeded_files, coalesce(f.failed_files, 0) AS failed_files,
@@ -313,6 +398,20 @@ def run_6(spark, sf):
     return RU.run_page(X.runs(spark, sf), page_no=1, size=20)
 
 
+@query(
+    over(
+        "runs",
+        """SELECT run_id, repository_url AS source_repo, branch, phase AS status, triggered_by AS trigger, started_at, finished_at,
+  created_at, 0 AS assets_delta, 0 AS edges_delta, 0 AS errors, (SELECT count(*) FROM runs) AS total_elements,
+  CAST(ceil((SELECT count(*) FROM runs) / 20.0) AS BIGINT) AS total_pages, 2 AS current_page, 20 AS page_size
+FROM runs ORDER BY created_at DESC, run_id LIMIT 20 OFFSET 40""",
+    )
+)
+def run_6_list(spark, sf):
+    """The list form of a page of runs."""
+    return RU.run_summary_page(X.runs(spark, sf), page_no=2, size=20)
+
+
 @query(
     over(
         "runs",
@@ -514,6 +613,12 @@ def log_2(spark, sf):
     return LO.log_page(X.logs(spark, sf), page_no=1, size=10)
 
 
+@query(over("logs", f"SELECT * EXCLUDE (rn, total), total AS total_elements FROM ({RANKED}) WHERE run_id = 'run-7' AND rn > 4 AND rn <= 8"))
+def log_2_seek(spark, sf):
+    """A page of one run's lines, found by counts."""
+    return X.ranked_logs(spark, sf).page(1, 4, run_id="run-7")
+
+
 @query(over("logs", f"SELECT * EXCLUDE (total) FROM ({RANKED}) WHERE rn <= 5"))
 def log_3(spark, sf):
     return LO.recent_logs(X.logs(spark, sf), 5)
@@ -545,6 +650,12 @@ def log_7(spark, sf):
     return LO.log_answer(X.logs(spark, sf), since=_lit_time("2024-01-25T00:00:00"))
 
 
+@query(over("logs", f"SELECT * EXCLUDE (rn), 1 AS page, 10 AS size FROM ({RANKED}) WHERE rn > 10 AND rn <= 20"))
+def log_7_page(spark, sf):
+    """The page form of the log view."""
+    return LO.log_answer(X.logs(spark, sf), page_no=1, size=10)
+
+
 # --- assets and columns -----------------------------------------------------------------------------------------
 
 
@@ -898,6 +1009,23 @@ def sch_1(spark, sf):
     return CA.search(X.lake(spark, sf)["assets"], SEARCHES).drop("column_count")
 
 
+@query(
+    over(
+        "a",
+        """SELECT q AS query, short_name AS entity_id, full_name AS entity_name, 'table' AS entity_type, rn
+FROM (SELECT v.q, a.short_name, a.full_name, CAST(row_number() OVER (PARTITION BY v.q ORDER BY a.short_name, a.created_at, a.asset_id)
+        AS INTEGER) AS rn
+      FROM a, (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN concat(' BL_', CAST(p_partkey % 60 AS VARCHAR))
+        WHEN 1 THEN concat('sch_', CAST(p_partkey % 9 AS VARCHAR)) ELSE p_name END AS q FROM part) AS v
+      WHERE contains(lower(a.short_name), lower(trim(v.q))) OR contains(lower(a.full_name), lower(trim(v.q))))
+WHERE rn <= 50""",
+    )
+)
+def sch_1_indexed(spark, sf):
+    """Search texts from a table, over the index of pieces."""
+    return NS.search_names(X.lake(spark, sf)["assets"], X.name_index(spark, sf), X.search_texts(spark, sf))
+
+
 @query(over("ent", "SELECT * EXCLUDE (asset_id), upstream_count > 0 AS has_upstream, downstream_count > 0 AS has_downstream FROM ent"))
 def ent_1(spark, sf):
     lake = X.lake(spark, sf)

@@ -154,3 +154,42 @@ def test_log_page_of_a_run(spark):
     )
     assert rows(LO.log_page(logs, page_no=1, size=3, ids="r"), "log_id", "rn", "total") == [(1, 6, 7), (2, 5, 7), (3, 4, 7)]
     assert LO.log_page(logs, ids=["other"]).count() == 0
+
+
+def test_ranked_pages_meet_any_page(spark, tmp_path):
+    from edgeloom.operators.paging import RankedTable, write_ranked
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(500).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('k', id % 7) END AS k", "id % 5 AS v").repartition(3)
+        order = [F.desc("v"), F.asc("id")]
+        for by, out in (((), str(tmp_path / "all")), (("k",), str(tmp_path / "keyed"))):
+            write_ranked(df, order, out, by)
+            ranked = RankedTable(spark, out, order)
+            assert ranked.rows.select("part").distinct().count() > 1
+            for key in ([{}] if not by else [{"k": "hot"}, {"k": "k3"}, {"k": "none"}]):
+                want = [r.id for r in (df if not key else df.filter(F.col("k") == key["k"])).orderBy(*order).collect()]
+                assert ranked.total(**key) == len(want)
+                for page_no in (0, 1, 7, 16, 100):
+                    got = ranked.page(page_no, 30, **key).collect()
+                    assert [r.id for r in got] == want[page_no * 30 : page_no * 30 + 30]
+                    assert all(r.total_elements == len(want) for r in got)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_search_over_the_index_finds_what_a_scan_finds(spark, tmp_path):
+    from edgeloom.operators.name_search import read_name_index, search_names, write_name_index
+
+    names = ["Orders", "order_items", "a", "ab", "%_x", "x%", "aaaa", "É_Tab", "tab.É", None, ""]
+    rows = [(f"id{i}", n, None if n is None else f"db.{n}", i) for i, n in enumerate(names)]
+    assets = spark.createDataFrame(rows, "asset_id string, short_name string, full_name string, created_at long")
+    write_name_index(assets, str(tmp_path / "index"))
+    texts = ["order", " ORDER ", "a", "aa", "aaa", "%", "_", "é", "É_t", "", "  ", "db.", "nothing", "b.a", None]
+    queries = spark.createDataFrame([(t,) for t in texts], "q string")
+    found = search_names(assets, read_name_index(spark, str(tmp_path / "index")), queries).collect()
+    for text in texts:
+        needle = (text or "").strip().lower()
+        want = sorted(n for n in names if needle and n is not None and needle in f"db.{n}".lower())
+        assert sorted(r.entity_id for r in found if r.query == text) == want, text
+    assert search_names(assets, read_name_index(spark, str(tmp_path / "index")), queries, limit=2).groupBy("query").count().filter("count > 2").count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.plans.ingest import ingest
 from edgeloom.sources import container_logs as CL
+from edgeloom.sources import placed_lines as PL
 from edgeloom.sources.events import read_event_lines
 from edgeloom.sources.tables import write_logs
 from edgeloom.streaming.ingest import read_stream_lake, start_ingest
@@ -187,3 +188,29 @@ def test_a_batch_does_not_read_earlier_events(spark, tmp_path):
 
     text = plan(unseen(spark.createDataFrame([(FIRST[0],)], "value string")))
     assert "decoded" not in text and "Join" not in text
+
+
+def test_appended_lines_arrive_and_equal_lines_differ(spark, tmp_path):
+    """Lines of any length and range, an unfinished one that ends later, and files that grow while they are followed."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    texts = ["same", "same", "", "x" * 200_000, "é𝒜", "same"]
+    (logs / "run-1.log").write_bytes("\n".join(texts).encode())
+    (logs / "_hidden.log").write_text("no\n")
+    for size in (7, 100, 65_536, 1 << 20):
+        ranges = PL._Reader(str(logs), size).partitions()
+        ends = ranges if len(ranges) < 80 else ranges[:40] + ranges[-40:]  # between them is the long line alone
+        assert [row[2] for r in ends for row in PL.read_range(r)] == texts, size
+    got = CL.read_log_files(spark, str(logs), 65_536).orderBy("at").collect()
+    assert [r.message for r in got] == texts and len({r.log_id for r in got}) == len(texts)
+
+    def follow():
+        start_tail(CL.follow_log_files(spark, str(logs), 65_536), str(tmp_path / "tail"), str(tmp_path / "cp")).awaitTermination()
+        return [r.message for r in spark.read.parquet(str(tmp_path / "tail")).orderBy("run_id", "at").collect()]
+
+    assert follow() == texts[:5]  # the last line has not ended
+    with (logs / "run-1.log").open("ab") as f:
+        f.write(b" line\nnew\n")
+    (logs / "run-2.log").write_text("other\n")
+    assert follow() == [*texts[:5], "same line", "new", "other"]
+    assert follow() == [*texts[:5], "same line", "new", "other"]
