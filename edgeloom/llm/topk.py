@@ -8,13 +8,15 @@ Pivots, a bounded seeded choice of vectors, part queries and data into Voronoi c
 queries the radius, for data the k + 1 smallest distances to the pivot of different ids. From them follows, per query cell, a bound on the
 distance of the k-th neighbour of any of its queries. Query cells near each other make groups of bounded size, large
 ones are split; a data vector is copied to a group only if the triangle inequality lets it lie within the bound of one
-of its cells. Tasks then solve a group of queries against a block of data by integer products held exactly in doubles,
-and the k best of each block meet in a final ranking.
-
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do vectors whose length
-is not the most frequent one; ties go to the smaller vec_id, repeated rows are candidates each (rows with a query's own
-vec_id are left out), and of query rows with one vec_id the one with the smallest vector asks; with fewer than k candidates all are given; an empty table gives an empty result; other columns are
-not read.
+of its cells. Tasks then solve a group of queries against a block of data by exact integer products - in doubles where no sum
+can pass 2**53, else in whole numbers - and the k best of each block meet in a final ranking.
+
+Defined results: vectors that are null or empty or hold null or non-finite components take no part, nor do those with a
+component that has no whole number of 64 bits at this scale; vectors of each length are searched by themselves, for only
+those have products; a score beyond 64 bits is given as the largest or smallest such number; ties go to the smaller
+vec_id, repeated rows are candidates each (rows with a query's own vec_id are left out), and of query rows with one vec_id
+and length the one with the smallest vector asks; with fewer than k candidates all are given; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,16 +54,30 @@ def usable(vector: Column) -> Column:
 
 
 def quantized(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id, q (whole numbers), norm2 of the usable vectors of the most frequent length."""
+    """vec_id, q (whole numbers), norm2 (as a double) of the usable vectors."""
     v = column(vectors, vector)
-    whole = F.transform(v, lambda x: F.floor(SCALE * x.cast("double")))
-    rows = vectors.select(column(vectors, key).cast("long").alias("vec_id"), F.when(usable(v), whole).alias("q")).filter(
-        F.col("q").isNotNull() & F.col("vec_id").isNotNull()
-    )
-    lengths = rows.groupBy(F.size("q").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    size = lengths.n if lengths else 0
-    same = rows.filter(F.size("q") == size)
-    return same.withColumn("norm2", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    scaled = F.transform(v, lambda x: F.lit(float(SCALE)) * x.cast("double"))
+    fits = F.forall(scaled, lambda x: F.abs(x) < F.lit(2.0**63))
+    whole = F.when(usable(v) & fits, F.transform(scaled, lambda x: F.floor(x)))
+    rows = vectors.select(column(vectors, key).cast("long").alias("vec_id"), whole.alias("q"))
+    rows = rows.filter(F.col("q").isNotNull() & F.col("vec_id").isNotNull())
+    return rows.withColumn("norm2", F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def _whole(group: pa.Table, name: str) -> np.ndarray:
+    values = group[name].combine_chunks()
+    return values.flatten().to_numpy().reshape(len(values), -1)
+
+
+def exact_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact, held in 64 bits."""
+    most = max((float(np.abs(m.astype(np.float64)).max()) if m.size else 0.0) for m in (x, y))
+    if x.shape[1] * most * most < 2.0**53:
+        return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    if x.shape[1] * most * most < 2.0**63:
+        return x @ y.T
+    exact = x.astype(object) @ y.astype(object).T
+    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 def _matrix(batch, name: str) -> np.ndarray:
@@ -101,6 +117,7 @@ def reach(placed: DataFrame, pivots: np.ndarray, settings: KnnSettings) -> np.nd
     Everything here is of the size of the pivots: radii, and the k + 1 smallest distances of different ids per data cell.
     """
     n, k = len(pivots), settings.k
+    scale = float(np.sqrt((pivots**2).sum(axis=1)).max())  # distances are as exact as the lengths they come from
     radius = np.full(n, -1.0)
     for r in placed.filter("query").groupBy("cell").agg(F.max("far").alias("r")).collect():
         radius[r.cell] = r.r
@@ -119,7 +136,7 @@ def reach(placed: DataFrame, pivots: np.ndarray, settings: KnnSettings) -> np.nd
         # The (k + 1)-th id: at least k ids other than the query's are within it.
         limit = bounds[order[first[k]]] if len(first) > k else np.inf
         # |q, x| >= |p_i, p_j| - radius_i - |p_j, x|
-        least[i] = between[i] - radius[i] - limit * (1 + settings.slack) - settings.slack
+        least[i] = between[i] - radius[i] - limit * (1 + settings.slack) - settings.slack * (1 + scale)
     return least
 
 
@@ -156,12 +173,21 @@ def top_k(
     vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", settings: KnnSettings = KnnSettings()
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query. `is_query` is on vec_id."""
-    spark = vectors.sparkSession
     rows = quantized(vectors, key, vector)
-    total, queries, top = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max("norm2")).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if not queries:
-        return spark.createDataFrame([], schema)
+    lengths = rows.groupBy(F.size("q").alias("n")).agg(F.count(F.lit(1)).alias("total"), F.count_if(is_query).alias("queries"), F.max("norm2").alias("top"))
+    found = None
+    for r in lengths.filter("queries > 0").orderBy("n").collect():  # one row per length in use
+        best = _search(rows.filter(F.size("q") == r.n), is_query, r.total, r.top, settings)
+        found = best if found is None else found.union(best)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", ranked).filter(F.col("rank") <= settings.k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, is_query: Column, total: int, top: float, settings: KnnSettings) -> DataFrame:
+    """query_id, vec_id, score: the best of each query in each block, for vectors of one length."""
+    spark = rows.sparkSession
     chosen = rows.select("q", "norm2", F.xxhash64(F.lit(settings.seed), "vec_id").alias("at")).orderBy("at").limit(settings.pivots).collect()
     pivots = np.array([[*r.q, np.sqrt(top - r.norm2)] for r in chosen], dtype=np.float64)
     placed = stored(to_cells(rows, pivots, float(top), is_query), "cells")
@@ -197,22 +223,21 @@ def top_k(
             ask = group["query"].to_numpy()
             if ask.all() or not ask.any():
                 continue
-            ids, x = group["vec_id"].to_numpy(), _matrix(group, "q")
+            ids, x = group["vec_id"].to_numpy(), _whole(group, "q")
             query_ids, data_ids = ids[ask], ids[~ask]
-            products = x[ask] @ x[~ask].T
-            products[query_ids[:, None] == data_ids[None, :]] = -np.inf
+            products = exact_products(x[ask], x[~ask])
+            own = query_ids[:, None] == data_ids[None, :]
+            products[own] = np.iinfo(np.int64).min
             k = min(settings.k, len(data_ids))
-            last = -np.partition(-products, k - 1, axis=1)[:, k - 1]
-            who, what = np.nonzero((products >= last[:, None]) & np.isfinite(products))
+            last = np.partition(products, len(data_ids) - k, axis=1)[:, len(data_ids) - k]
+            who, what = np.nonzero((products >= last[:, None]) & ~own)
             score = products[who, what]
-            order = np.lexsort((data_ids[what], -score, who))
+            order = np.lexsort((data_ids[what], ~score, who))
             who, what, score = who[order], what[order], score[order]
             starts = np.searchsorted(who, who, side="left")
             fine = np.arange(len(who)) - starts < k
             who, what, score = who[fine], what[fine], score[fine]
-            arrays = [pa.array(query_ids[who]), pa.array(data_ids[what]), pa.array(score.astype(np.int64))]
+            arrays = [pa.array(query_ids[who]), pa.array(data_ids[what]), pa.array(score)]
             yield pa.record_batch(arrays, names=["query_id", "vec_id", "score"])
 
-    best = met.mapInArrow(solve, "query_id long, vec_id long, score long")
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", ranked).filter(F.col("rank") <= settings.k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(solve, "query_id long, vec_id long, score long")

@@ -98,3 +98,34 @@ def test_top_k_of_a_query_id_on_many_rows(vectors):
     asks = min(v for i, v in whole if i == 100)
     scored = sorted((-sum(a * b for a, b in zip(asks, v)), i) for i, v in whole if i != 100)[:5]
     assert got == [(100, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+
+
+@pytest.mark.parametrize("size", [3e6, 4e9, 1e15])
+def test_top_k_of_large_values_is_exact(vectors, size):
+    r = np.random.default_rng(7)
+    data = [(i, [float(v) for v in size * r.normal(size=3)], 0) for i in range(80)] + [(500 + i, [1e300, 1.0, 1.0], 0) for i in range(2)]
+    got = sorted(map(tuple, top_k(vectors(data, "double"), F.col("vec_id") % 10 == 0).collect()))
+    use = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in data if i < 500]
+    want = []
+    for i, q in use:
+        if i % 10 == 0:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(q, v)), -(2**63) + 1), 2**63 - 1), j) for j, v in use if j != i)[:10]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    assert got == sorted(want)
+
+
+def test_top_k_searches_each_length(vectors):
+    data = [(100 * n + i, [float(i + 1)] * n, 0) for n in (1, 2, 3) for i in range(4)]
+    got = sorted(map(tuple, top_k(vectors(data), F.col("vec_id") % 100 == 0).collect()))
+    want = [(100 * n, k + 1, 100 * n + i, n * 1024 * 1024 * (i + 1)) for n in (1, 2, 3) for k, i in enumerate((3, 2, 1))]
+    assert got == want
+
+
+def test_near_duplicates_meet_in_ids_of_several_vectors(vectors):
+    """Rows of an id are one node whichever vectors they hold; each row counts what its own vector is linked with."""
+    b, c, d = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    data = [(7, b, 0), (8, b, 0), (8, c, 0), (9, c, 0), (7, d, 0), (9, None, 0), (20, d, 0), (30, [-1.0, 0.0, 0.0], 0), (31, None, 0)]
+    rows = near_duplicate_vectors(vectors(data)).collect()
+    assert {r.vec_id: r.component_id for r in rows} == {7: 7, 8: 7, 9: 7, 20: 7, 30: 30, 31: 31}
+    assert sorted((r.vec_id, r.n_links) for r in rows) == [(7, 1), (7, 1), (8, 1), (8, 1), (9, 0), (9, 1), (20, 1), (30, 0), (31, 0)]
+    assert len({(r.vec_id, r.component_id) for r in rows}) == len({r.vec_id for r in rows})
