@@ -15,7 +15,7 @@ With similarity 0.85 and 32 coordinates a linked pair agrees in fewer than 17 wi
 million, and it is linked all the same if a chain of others connects it.
 
 Defined results: null text, empty text and text without words have an empty set, n_shingles 0, and are linked with
-nothing; fewer than five words are one shingle; repeated ids are one node; a null id has component null; an empty table
+nothing; fewer than five words are one shingle; repeated ids are one node, also where their texts differ or some have no words; a null id has component null; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -274,12 +274,25 @@ def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings
     members = stored(candidates.join(many, "component").withColumnRenamed("node", "rep"), "candidates")
     ids = docs.select(column(docs, key).cast("long").alias("rep"), column(docs, text).alias("text"))
     sets = shingle_sets(members.join(ids, "rep").select("component", "many", "rep", "text"), settings)
-    linked = components(confirmed_links(sets, settings))
+    links = confirmed_links(sets, settings)
+    # Rows of one id with different texts are one node: the classes that hold them meet in the id.
+    own = sketched.filter(F.col("doc_id").isNotNull())
+    texts = F.struct("h1", "h2", "n_shingles")
+    several = own.groupBy("doc_id").agg(F.min(texts).alias("one"), F.max(texts).alias("other")).filter("one <> other").select("doc_id")
+    several = stored(several, "ids-of-several-texts")
+    shared = not several.isEmpty()
+    if shared:
+        met = usable.select("doc_id", "h1", "h2", "n_shingles").join(several, "doc_id").join(classes, ["h1", "h2", "n_shingles"])
+        links = links.union(met.select("doc_id", "rep"))
+    linked = stored(components(links), "near-components")
 
-    # Rows of one id with different texts are one node: their classes meet in it.
     named = classes.select("h1", "h2", "n_shingles", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    return sketched.join(named, ["h1", "h2", "n_shingles"], "left").select(
+    found = sketched.join(named, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", "component")
+    if shared:  # also a row without words is of the node of its id
+        of_id = several.join(linked.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "of_id")
+        found = found.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("of_id", "component"))
+    return found.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -200,3 +200,16 @@ def test_line_dedup_of_repeated_passages(documents):
     lines = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefg", (3, 4, 5, 6, 7, 4, 11))]
     texts = [(i, "\n".join([f"own {i}", *rng.choices(lines, k=rng.randint(0, 9))])) for i in range(60)]
     assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
+
+
+def test_ids_over_several_texts_are_one_node(documents, words):
+    """Rows (7, b), (8, b), (8, c), (9, c) are one group, also with chains over more texts and rows without words."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(12)]
+    rows = [(7, texts[0]), (8, texts[0]), (8, texts[1]), (9, texts[1]), (9, ""), (8, None), (4, "")]
+    ids = rng.sample(range(100, 200), 20)
+    rows += [(rng.choice(ids), texts[rng.randrange(2, 12)]) for _ in range(24)]
+    links = [(a, b) for a, s in rows for b, t in rows if a < b and s and s == t]
+    want = roots({i for i, _ in rows}, links)
+    got = near_duplicates(documents(rows)).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
