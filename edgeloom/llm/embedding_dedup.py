@@ -11,8 +11,8 @@ sqrt(2 - 2c), so linked vectors lie in the same or neighbouring cells of that wi
 Each tile gives link counts per vector and the links of a spanning forest, never all pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have no links and are their
-own component; vectors of different lengths are not linked; repeated vec_ids are one node whose links add up; equal
-vectors are linked with each other; a null vec_id is linked with nothing; an empty table gives an empty result; other
+own component; vectors of different lengths are not linked; rows of one vec_id are one node, and each
+counts the other rows that its own vector is linked with; equal vectors are linked with each other; a null vec_id is linked with nothing; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -200,8 +200,10 @@ def near_duplicate_vectors(vectors: DataFrame, settings: CosineSettings = Cosine
     v = column(vectors, vector)
     nonzero = F.exists(v, lambda x: x != 0)
     every = vectors.select(column(vectors, key).cast("long").alias("vec_id"), F.when(usable(v) & nonzero, _plain(v)).alias("vec"))
-    classes = every.filter(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
-    classes = stored(classes.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
+    usable_rows = every.filter(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
+    classes = usable_rows.groupBy("vec").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    # A class of equal vectors has a number of its own: an id may be the least of several classes.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
     found = []
     sizes = [r.n for r in classes.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]  # lengths in use
@@ -222,15 +224,29 @@ def near_duplicate_vectors(vectors: DataFrame, settings: CosineSettings = Cosine
     for more in found[1:]:
         links = links.union(more)
     links = stored(links, "vector-links")
-    counts = links.groupBy("a").agg(F.sum("count").alias("others"))
-    joined = components(links.filter("b is not null").select("a", "b"))
-    named = (
-        classes.join(counts.withColumnRenamed("a", "rep"), "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+    counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("count").alias("others"))
+    # Rows of one id with different vectors are one node: their classes meet in it.
+    member = stored(every.join(classes.select("vec", "rep"), "vec", "left").select("vec_id", "rep"), "vector-members")
+    met = member.filter(F.col("rep").isNotNull()).groupBy("vec_id", "rep").agg(F.count(F.lit(1)).alias("n"))
+    several = met.groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").drop("most")
+    by_id = met.join(several, "vec_id").select(F.col("rep").alias("a"), "b")
+    joined = components(links.filter("b is not null").select("a", "b").union(by_id)).withColumnRenamed("node", "rep")
+    grouped = classes.select("rep", "least_id", "copies").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grouped = stored(grouped, "vector-components")
+    least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = grouped.join(least, "component").join(counts, "rep", "left")
+    named = named.select("rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
+    # Also a row whose vector takes no part is of the node of its id, where the id has others.
+    lone = member.filter(F.col("rep").isNull()).select("vec_id").distinct()
+    part = met.join(lone, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("rep").alias("id_rep"))
+    part = part.join(named.select(F.col("rep").alias("id_rep"), F.col("component_id").alias("part_id")), "id_rep").drop("id_rep")
+    return (
+        member.join(named, "rep", "left")
+        .join(part, "vec_id", "left")
+        .select(
+            "vec_id",
+            F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
+            F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "part_id", "vec_id")).alias("component_id"),
+        )
+        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
     )
-    return result.join(named, "vec", "left").select(
-        "vec_id",
-        F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"),
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
