@@ -215,9 +215,14 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, usable, settings: Crf
     languages = different.select("lang").distinct().count()
     if not languages:
         return []
+    quota = max(1, settings.sample // languages)
+    # The hashes are even, so below a limit there are about eight times the texts that are wanted, however many a language has.
+    many = different.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
+    low = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(8.0 * (quota + 8)) / F.col("many"))
+    few = different.join(many, "lang").filter(F.col("at").cast("double") <= low).drop("many")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
-    ranked = different.withColumn("rank", rank).filter(F.col("rank") <= max(1, settings.sample // languages))
-    chosen = ranked.orderBy("lang", "rank").limit(settings.sample)
+    ranked = few.withColumn("rank", rank).filter(F.col("rank") <= quota)
+    chosen = ranked.orderBy("rank", "at").limit(settings.sample)
     # At most `sample` rows; the copies of a text meet in one.
     begin = F.pmod("at", F.greatest(F.length("text") - settings.longest, F.lit(0)) + 1).cast("int") + 1
     stretch = hashed.join(F.broadcast(chosen), ["lang", "at"]).withColumn("text", F.col("text").substr(begin, F.lit(settings.longest)))
