@@ -49,9 +49,9 @@ def families(words, seed, n=6, size=25):
     return list(enumerate(texts))
 
 
-def brute(texts):
+def brute(texts, percent=85):
     sets = [(i, shingles(t)) for i, t in texts if i is not None]
-    links = [(i, j) for a, (i, s) in enumerate(sets) for j, t in sets[a + 1 :] if s and 100 * len(s & t) >= 85 * len(s | t)]
+    links = [(i, j) for a, (i, s) in enumerate(sets) for j, t in sets[a + 1 :] if s and 100 * len(s & t) >= percent * len(s | t)]
     return roots({i for i, _ in sets}, links)
 
 

@@ -27,14 +27,14 @@ def test_stages(written):
     after = {r.doc_id: r for r in cut.collect()}
     assert set(after) <= set(texts)
     assert all(r.n_chars == len(r.text) for i, r in after.items() if r.text != texts[i])
-    assert {r.doc_id for r in single.collect()} == {i for i, c in brute([(i, r.text) for i, r in after.items()]).items() if i == c}
+    assert {r.doc_id for r in single.collect()} == {i for i, c in brute([(i, r.text) for i, r in after.items()], 80).items() if i == c}
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in single.select("doc_id").collect()}
 
 
 def test_registered():
     assert [n for n in queries() if n.startswith("op") or n == "pipeline"] == [
         "op1_sharding", "op2_hmm_scoring", "op3_best_fit_packing", "op4_language_id", "op5_voronoi_topk", "op6_url_filter", "op7_line_dedup",
-        "op8_sentencepiece", "op9_minhash_dedup", "op10_embedding_dedup", "pipeline",
+        "op8_sentencepiece", "op9_minhash_dedup", "op10_embedding_dedup", "op11_prefix_trie", "op12_shared_search", "op13_min_cut_html", "pipeline",
     ]
 
 
