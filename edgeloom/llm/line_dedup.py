@@ -5,7 +5,10 @@ starts at each line, and the shortest that ends at each line. Every line of a lo
 block, so it is enough to pair each holder of a run with the run's first holder: no block is left out, and pairs grow with
 the lines. Each pair is aligned with patience diff on its line hashes: lines that are unique in both documents
 and in the same order are anchors, equal lines next to anchors join them, and the rest is aligned again until nothing is
-found. Blocks without such anchors, as of a passage that one of the documents repeats, are found by the hashes of their runs.
+found. A stretch without a unique line, as of a passage that one of the documents repeats, is anchored on the runs that both
+hold, the n-th of one against the n-th of the other. What is left of the later document is aligned again with the whole
+earlier one until no run of it is left, so blocks in another order are found. Only aligned blocks go: of two runs that overlap
+and stand apart in the earlier document one is aligned, and what the other has beyond it stays if it is shorter than a block.
 Common blocks of at least `min_words` words go from the later document, the one with the larger id. The first
 holder of a line always keeps it.
 
@@ -63,77 +66,134 @@ def line_runs(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.
     return starts, ends, _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
-def patience_pairs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places of equal lines in both lists, in order, by patience diff."""
+class RunAnchors:
+    """Runs of `min_words` words that both documents hold: in a stretch, the n-th of one against the n-th of the other."""
+
+    def __init__(self, a: list[int], b: list[int], words: list[int], min_words: int) -> None:
+        words_of = dict(zip(b, words, strict=True))
+        # A line that b lacks ends a run at once: no run that holds it is a run of b.
+        self.ends_a, self.runs_a = self._first_runs(a, [words_of.get(line, min_words) for line in a], min_words)
+        self.ends_b, self.runs_b = self._first_runs(b, words, min_words)
+
+    @staticmethod
+    def _first_runs(lines: list[int], words: list[int], min_words: int) -> tuple[list[int], list[int]]:
+        """End and hash of the run that starts at each line, as far as the words suffice."""
+        before = np.cumsum([0, *words])
+        n = int((before[:-1] + min_words <= before[-1]).sum())
+        _, ends, runs = line_runs(np.array(lines, dtype=np.int64), np.array(words, dtype=np.int64), min_words)
+        return ends[:n].tolist(), runs[:n].tolist()
+
+    def close(self, taken: list[bool]) -> None:
+        """Forget the runs of b that hold a line that is taken."""
+        before = np.cumsum([0, *taken])
+        ends = np.array(self.ends_b, dtype=np.int64)
+        open_ = (ends <= len(taken)) & (before[np.minimum(ends, len(taken))] == before[: len(ends)])
+        self.ends_b = np.where(open_, ends, len(taken) + 1).tolist()
+
+    def __call__(self, a0: int, a1: int, b0: int, b1: int) -> dict[int, int]:
+        places: dict[int, list[int]] = {}
+        for i in range(a0, min(a1, len(self.runs_a))):
+            if self.ends_a[i] <= a1:
+                places.setdefault(self.runs_a[i], []).append(i)
+        seen: Counter = Counter()
+        found = {}
+        for j in range(b0, min(b1, len(self.runs_b))):
+            run = self.runs_b[j]
+            if self.ends_b[j] <= b1 and seen[run] < len(places.get(run, ())):
+                found[j] = places[run][seen[run]]
+                seen[run] += 1
+        return found
+
+    def apart(self, chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Without the anchors that would break the run of the one before them."""
+        kept: list[tuple[int, int]] = []
+        for i, j in chain:
+            if kept:
+                p, q = kept[-1]
+                if i - j != p - q and (i < self.ends_a[p] or j < self.ends_b[q]):
+                    continue
+            kept.append((i, j))
+        return kept
+
+
+def _line_anchors(a: list, b: list, a0: int, a1: int, b0: int, b1: int) -> dict[int, int]:
+    """Place in b to place in a of the lines that are unique in both stretches."""
+    times_a, times_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+    place = {line: i for i, line in enumerate(a[a0:a1], a0) if times_a[line] == 1 and times_b.get(line) == 1}
+    return {j: place[b[j]] for j in range(b0, b1) if b[j] in place}
+
+
+def _longest_chain(anchors: dict[int, int]) -> list[tuple[int, int]]:
+    """The longest run of anchors in the order of both: piles of patience sorting."""
+    tops: list[int] = []
+    piles: list[tuple[int, int, tuple | None]] = []
+    for j, i in anchors.items():
+        at = bisect_left(tops, i)
+        tops[at : at + 1] = [i]
+        piles[at : at + 1] = [(i, j, piles[at - 1] if at else None)]
+    chain = []
+    card = piles[-1] if piles else None
+    while card:
+        chain.append(card[:2])
+        card = card[2]
+    return chain[::-1]
+
+
+def patience_pairs(a: list, b: list, runs: RunAnchors | None = None, by_lines: bool = True) -> list[tuple[int, int]]:
+    """Places of equal lines in both lists, in order, by patience diff.
+
+    Anchors of a stretch are the lines that are unique in both; where there are none, the runs that both hold.
+    """
     found: list[tuple[int, int]] = []
-    waiting = [(0, len(a), 0, len(b))]
+    waiting = [(0, len(a), 0, len(b), by_lines)]
     while waiting:
-        a0, a1, b0, b1 = waiting.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+        a0, a1, b0, b1, lines = waiting.pop()
+        while lines and a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             found.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+        while lines and a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             found.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        times_a, times_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        place = {line: i for i, line in enumerate(a[a0:a1], a0) if times_a[line] == 1 and times_b.get(line) == 1}
-        # The longest run of anchors in the order of both: piles of patience sorting.
-        tops: list[int] = []
-        piles: list[tuple[int, int, tuple | None]] = []
-        for j in range(b0, b1):
-            i = place.get(b[j])
-            if i is not None:
-                at = bisect_left(tops, i)
-                card = (i, j, piles[at - 1] if at else None)
-                tops[at : at + 1] = [i]
-                piles[at : at + 1] = [card]
-        card = piles[-1] if piles else None
-        right = (a1, b1)
-        while card:
-            i, j, card = card
-            waiting.append((i + 1, right[0], j + 1, right[1]))
+        chain = _longest_chain(_line_anchors(a, b, a0, a1, b0, b1)) if lines else []
+        if not chain and runs:
+            chain = runs.apart(_longest_chain(runs(a0, a1, b0, b1)))
+        for i, j in chain:
+            waiting.append((a0, i, b0, j, True))
             found.append((i, j))
-            right = (i, j)
-        if piles:
-            waiting.append((a0, right[0], b0, right[1]))
+            a0, b0 = i + 1, j + 1
+        if chain:
+            waiting.append((a0, a1, b0, b1, True))
     return sorted(found)
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
     """Stretches (from, to) of b that are aligned with equal stretches of a and have enough words.
 
-    Blocks that stand in another order are found by aligning again what is left, blocks of repeated lines by their runs.
+    What is left of b is aligned again until it holds no run of a that has enough words, so a block that stands in another
+    order, or more often, is found as well. If anchors on single lines give no block, those on runs do.
     """
-    gone = np.zeros(len(b) + 1, dtype=np.int64)  # +1 where a block begins, -1 after its end
-    places = list(range(len(b)))
-    while places:
-        taken: set[int] = set()
+    runs = RunAnchors(a, b, words, min_words)
+    left: list = list(b)
+    taken = [False] * len(b)
+    by_lines = True
+    while runs(0, len(a), 0, len(b)):
+        before = sum(taken)
         run: list[int] = []
         last = (-2, -2)
-        for i, k in [*patience_pairs(a, [b[p] for p in places]), (-2, -2)]:
-            j = places[k] if k >= 0 else -2
+        for i, j in [*patience_pairs(a, left, runs, by_lines), (-2, -2)]:
             if run and (i, j) != (last[0] + 1, last[1] + 1):
                 if sum(words[p] for p in run) >= min_words:
-                    gone[run[0]] += 1
-                    gone[run[-1] + 1] -= 1
-                    taken.update(run)
+                    for p in run:
+                        taken[p], left[p] = True, (p,)  # equal to no line
                 run = []
             run.append(j)
             last = (i, j)
-        if not taken:
-            break
-        places = [p for p in places if p not in taken]
-    if places:
-        words_of = dict(zip(b, words, strict=True))
-        # A line that b lacks ends a run at once: no run that holds it is a run of b.
-        _, _, known = line_runs(np.array(a), np.array([words_of.get(line, min_words) for line in a]), min_words)
-        starts, ends, runs = line_runs(np.array(b), np.array(words), min_words)
-        same = np.isin(runs, known)
-        np.add.at(gone, starts[same], 1)
-        np.add.at(gone, ends[same], -1)
-    edges = np.flatnonzero(np.diff(np.cumsum(gone) > 0, prepend=False)).tolist()
+        by_lines = sum(taken) > before
+        if by_lines:
+            runs.close(taken)
+    edges = np.flatnonzero(np.diff([False, *taken, False])).tolist()
     return list(zip(edges[::2], edges[1::2], strict=True))
 
 

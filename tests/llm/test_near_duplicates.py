@@ -196,10 +196,63 @@ def test_line_dedup_of_repeated_passages(documents):
     for twice in (0, 1, 2):
         texts = [(i, "\n".join([f"own {i}", *passage, *([f"mid {i}", *passage] if i == twice or i == 20 else []), f"end {i}"])) for i in [0, 1, 2, *range(11, 24)]]
         assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
+
+
+def held_runs(lines, words, least=10):
+    """All stretches of adjacent lines that have enough words and are no longer than they must be, by a plain search."""
+    out = {}
+    for i in range(len(lines)):
+        for k in range(i + 1, len(lines) + 1):
+            if sum(words[i:k]) >= least:
+                out.setdefault(tuple(lines[i:k]), []).append((i, k))
+                break
+    return out
+
+
+def test_only_aligned_blocks_go():
+    """Two runs that overlap in the later document stand apart in the earlier: one is aligned, the rest of the other stays."""
+    assert D.common_blocks([1, 2, 9, 2, 3], [1, 2, 3], [6] * 3, 10) == [(0, 2)]
+    assert D.common_blocks([1, 2, 9, 2, 3, 4], [1, 2, 3, 4], [6] * 4, 10) == [(0, 4)]
+    assert D.common_blocks([5] * 40, [5] * 30, [3] * 30, 10) == [(0, 30)]
+    assert D.common_blocks([], [1], [20], 10) == D.common_blocks([1], [], [], 10) == []
+
+
+def test_blocks_are_aligned_and_whole():
+    """Each block is a chain of stretches of the earlier document; no run of it is left whole in the later one."""
+    rng = random.Random(12)
+    size = [0, 3, 4, 5, 6, 7, 4, 11]
+    for _ in range(1500):
+        a, b = (rng.choices(range(8), k=rng.randint(0, 14)) for _ in range(2))
+        words = [size[x] for x in b]
+        blocks = D.common_blocks(a, b, words, 10)
+        gone = [any(x <= p < y for x, y in blocks) for p in range(len(b))]
+        known, own = held_runs(a, [size[x] for x in a]), held_runs(b, words)
+        for run, places in own.items():
+            if run in known:
+                assert all(any(gone[i:k]) for i, k in places)
+        covered = {p for x in range(len(b)) for y in range(x + 1, len(b) + 1) for z in range(len(a)) if a[z : z + y - x] == b[x:y] and sum(words[x:y]) >= 10 for p in range(x, y)}
+        assert all(p in covered for p in range(len(b)) if gone[p])
+
+
+def test_line_dedup_of_mixed_runs(documents):
+    """Each document is cut by its alignments with the first holders of its runs."""
     rng = random.Random(8)
     lines = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefg", (3, 4, 5, 6, 7, 4, 11))]
-    texts = [(i, "\n".join([f"own {i}", *rng.choices(lines, k=rng.randint(0, 9))])) for i in range(60)]
-    assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == brute_cut(texts)
+    split = {i: [f"own {i}", *rng.choices(lines, k=rng.randint(0, 9))] for i in range(60)}
+    count = {i: [len(x.split()) for x in t] for i, t in split.items()}
+    number = {x: n for n, x in enumerate(sorted({x for t in split.values() for x in t}))}
+    as_numbers = {i: [number[x] for x in t] for i, t in split.items()}
+    back = {i: held_runs(t[::-1], count[i][::-1]) for i, t in split.items()}
+    held = {i: set(held_runs(t, count[i])) | {r[::-1] for r in back[i]} for i, t in split.items()}
+    first = {r: min(i for i in held if r in held[i]) for t in held.values() for r in t}
+    want = {}
+    for i, t in split.items():
+        gone = set()
+        for j in {first[r] for r in held[i]} - {i}:
+            gone.update(p for x, y in D.common_blocks(as_numbers[j], as_numbers[i], count[i], 10) for p in range(x, y))
+        want[i] = "\n".join(x for p, x in enumerate(t) if p not in gone)
+    texts = [(i, "\n".join(t)) for i, t in split.items()]
+    assert {r.doc_id: r.text for r in D.remove_common_lines(documents(texts)).collect()} == want
 
 
 def test_ids_over_several_texts_are_one_node(documents, words):
