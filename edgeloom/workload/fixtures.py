@@ -7,6 +7,7 @@ Raw logs and the tables ingested from them are written once per session and data
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,14 +18,18 @@ from edgeloom.operators.catalog import ASSET_ORDER
 from edgeloom.operators.name_search import read_name_index, write_name_index
 from edgeloom.operators.paging import RankedTable, write_ranked
 from edgeloom.plans.ingest import ingest
+from edgeloom.schemas import schema
 from edgeloom.session import tune, work_dir
+from edgeloom.sources.deletion import delete_columns, delete_old_logs
 from edgeloom.sources.events import read_event_lines
 from edgeloom.sources.names import read_by_name, write_by_name
 from edgeloom.sources.replays import decode_lines
-from edgeloom.sources.tables import read_table
+from edgeloom.sources.tables import read_table, write_logs, write_table
 from edgeloom.streaming.ingest import read_stream_lake, start_ingest
 from edgeloom.streaming.log_tail import start_tail
 
+RETENTION = datetime(2024, 1, 10, 9, 30)
+
 _built: dict[tuple, object] = {}
 
 
@@ -407,6 +412,25 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_of(table(spark, sf_dir, "events"))
 
 
+@once
+def kept_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored log lines, after the retention of `log_6`."""
+    out = place(spark, sf_dir, "kept_logs")
+    lines = logs(spark, sf_dir).withColumn("log_date", F.col("log_time").cast("date"))
+    write_logs(lines.select([F.col(c.name).cast(c.dataType) for c in schema("extraction_logs")]), out, mode="overwrite")
+    delete_old_logs(spark, out, RETENTION)
+    return read_table(spark, out, "extraction_logs")
+
+
+@once
+def kept_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored columns, after those of assets without a schema are deleted."""
+    tables, out = lake(spark, sf_dir), place(spark, sf_dir, "kept_columns")
+    write_table(tables["asset_columns"].drop("run_bucket"), out, "asset_columns")
+    delete_columns(spark, out, tables["assets"].filter(F.col("schema_name") == C.UNKNOWN_SCHEMA))
+    return read_table(spark, out, "asset_columns")
+
+
 def logs_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id").alias("log_id"),

@@ -639,6 +639,12 @@ def log_6(spark, sf):
     return LO.logs_after_retention(X.logs(spark, sf), _lit_time("2024-01-10T00:00:00"))
 
 
+@query(over("logs", "SELECT * REPLACE (CAST(log_id AS VARCHAR) AS log_id) FROM logs WHERE log_time >= TIMESTAMP '2024-01-10 09:30:00'"))
+def log_6_stored(spark, sf):
+    """Retention on a stored table: whole days are dropped, one day is written again."""
+    return X.kept_logs(spark, sf).drop("log_date")
+
+
 @query(
     over(
         "logs",
@@ -838,19 +844,23 @@ def col_4(spark, sf):
     return found.select("asset_column_id", "asset_id", "column_name", "role")
 
 
-@query(
-    over(
-        "col a",
-        """SELECT asset_column_id, asset_id, column_name FROM col
-WHERE asset_id NOT IN (SELECT asset_id FROM a WHERE schema_name = 'unknown_schema')""",
-    )
-)
+COLUMNS_LEFT = """SELECT asset_column_id, asset_id, column_name FROM col
+WHERE asset_id NOT IN (SELECT asset_id FROM a WHERE schema_name = 'unknown_schema')"""
+
+
+@query(over("col a", COLUMNS_LEFT))
 def col_5(spark, sf):
     lake = X.lake(spark, sf)
     gone = lake["assets"].filter(F.col("schema_name") == C.UNKNOWN_SCHEMA)
     return CA.columns_without(lake["asset_columns"], gone).select("asset_column_id", "asset_id", "column_name")
 
 
+@query(over("col a", COLUMNS_LEFT))
+def col_5_stored(spark, sf):
+    """The same on a stored table, whose touched buckets alone are written again."""
+    return X.kept_columns(spark, sf).select("asset_column_id", "asset_id", "column_name")
+
+
 # --- edges ------------------------------------------------------------------------------------------------------
 
 
