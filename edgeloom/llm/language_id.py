@@ -34,6 +34,9 @@ from edgeloom.llm.words import kept, sliced
 UNDETERMINED = "und"
 
 
+SCORED_AT_ONCE = 10_000
+
+
 @dataclass(frozen=True)
 class CrfSettings:
     """`sample`: labelled texts the field is fitted on. `width`: hashed features."""
@@ -182,7 +185,9 @@ class Tagger:
             if need > len(self.potentials):
                 more = max(need, 2 * len(self.potentials)) - len(self.potentials)
                 self.potentials = np.concatenate([self.potentials, np.ones((more, self.potentials.shape[1]))])
-            self.potentials[self.used : need] = _potentials(self.crf.score(some))
+            for at in range(0, len(some), SCORED_AT_ONCE):  # features of a word take far more room than its scores
+                part = some[at : at + SCORED_AT_ONCE]
+                self.potentials[self.used + at : self.used + at + len(part)] = _potentials(self.crf.score(part))
             self.number.update(zip(some, range(self.used, need), strict=True))
             self.used = need
         self.number.update((w, self.number[s]) for w, s in zip(new, shapes, strict=True))
