@@ -32,8 +32,6 @@ from edgeloom.llm.common import column, id_remainder
 from edgeloom.llm.words import kept, sliced
 
 UNDETERMINED = "und"
-
-
 SCORED_AT_ONCE = 10_000
 
 
