@@ -34,6 +34,7 @@ CHUNK = 250
 
 # White space of the tokenizer's pattern beyond blank, tab and line ends; a text that holds any is encoded whole.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_SPACE = " \t\n\r"
 _SEGMENT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
@@ -49,10 +50,29 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already fill the cores
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = SegmentCache(self._batch)
-
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = len(token)  # a token is written with one character for each of its bytes
+        self.cache = SegmentCache(self._segments)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _segments(self, segments: list[str]) -> list[bytes]:
+        """Those that start with white space and end in something else are encoded as one text, cut again by their bytes."""
+        joined = [s for s in segments if s[0] in _SPACE and s[-1] not in _SPACE]
+        ids = as_uint32(self._batch(["".join(joined)])[0])
+        ends = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        bounds = np.cumsum([0, *(len(s) if s.isascii() else len(s.encode()) for s in joined)])
+        at = np.searchsorted(ends, bounds)
+        if not np.array_equal(ends[np.minimum(at, len(ids))], bounds):  # not a byte-level model with these cuts
+            return self._batch(segments)
+        packed, cuts = ids.tobytes(), (4 * at).tolist()
+        found = {s: packed[a:b] for s, a, b in zip(joined, cuts, cuts[1:], strict=False)}
+        others = [s for s in segments if s not in found]
+        found.update(zip(others, self._batch(others), strict=True))
+        return [found[s] for s in segments]
 
     def _whole(self, text: str) -> bool:
         return bool(_RARE_SPACE.search(text)) or any(s in text for s in self.specials)
@@ -63,7 +83,7 @@ class ByteBpe:
             cut = [None if self._whole(t) else _SEGMENT.findall(t) for t in group]
             self.cache.learn([c for c in cut if c])
             for text, segments in zip(group, cut, strict=True):
-                yield self.cache.encode(segments) if segments is not None else np.array(self._batch([text])[0], dtype="<u4").tobytes()
+                yield self.cache.encode(segments) if segments is not None else self._batch([text])[0]
 
 
 def read_text_file(path: str) -> str:

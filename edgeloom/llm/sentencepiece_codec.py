@@ -19,6 +19,7 @@ repeated rows are encoded each; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -159,7 +160,7 @@ class Codec:
         self.tokenizer = Tokenizer(core)
         self.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.by_segment = m.cuts_at_spaces()
-        self.cache = SegmentCache(self._batch)
+        self.cache = SegmentCache(lambda segments: [struct.pack(f"<{len(ids)}I", *ids) for ids in self._batch(segments)])
         self.odd: set[str] = set()
         self.shown = {i for i, t in enumerate(m.types) if t != CONTROL}
 

@@ -5,7 +5,6 @@ Prose repeats its words, so a library's encoder runs on few segments and the res
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 class SegmentCache:
     """Ids of segments, as little-endian 32-bit numbers. A cache of `limit` segments starts anew, so memory is bounded."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], limit: int = 900_000):
+    def __init__(self, encode_batch: Callable[[list[str]], list[bytes]], limit: int = 900_000):
         self.encode_batch, self.limit = encode_batch, limit
         self.known: dict[str, bytes] = {}
 
@@ -32,8 +31,7 @@ class SegmentCache:
             self.known.clear()
         new = list(set().union(*texts).difference(self.known))
         if new:
-            for s, ids in zip(new, self.encode_batch(new), strict=True):
-                self.known[s] = struct.pack(f"<{len(ids)}I", *ids)
+            self.known.update(zip(new, self.encode_batch(new), strict=True))
 
 
 #: A Python worker serves many tasks: what it has learnt is kept by the definition of the encoder.
