@@ -1,7 +1,7 @@
 """Lines of text files with their place: the file, the byte at which a line starts, and when the file was last written.
 
 Spark's text source gives neither place nor order, and as a stream it reads a file once and for all. This source, written
-with Spark's own Python data source interface, cuts files into byte ranges that tasks read on their own, and as a stream it
+with Spark's own Python data source interface, cuts files into byte ranges that tasks read, many small ones each, and as a stream it
 goes on where it stopped in each file, so appended lines arrive. A line counts once it has ended with a line feed; as a
 batch, the rest of a file counts too. Files are opened through Arrow's file systems: shared mounts and object stores.
 
@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, at long, line string, written_at timestamp_ntz"
 CHUNK = 1 << 16
+FILES, LEAST = 256, 1 << 20  # a task reads up to so many ranges, and bytes where ranges are smaller than that
 
 
 def _open(path: str):
@@ -29,7 +30,7 @@ def _open(path: str):
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Lines that start from byte `start` up to `stop` of a file."""
 
     path: str
@@ -39,6 +40,13 @@ class Range(InputPartition):
     written_at: dt.datetime
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    parts: list[Range]
+
+
 def _files(path: str) -> list:
     """Files below a folder with their sizes, hidden ones aside, in the order of their names."""
     from pyarrow import fs
@@ -67,7 +75,7 @@ def _last_line_end(system, file: str, start: int, stop: int) -> int:
     return start
 
 
-def read_range(part: Range) -> Iterator[tuple]:
+def _lines(part: Range) -> Iterator[tuple]:
     system, _ = _open(part.path)
     with system.open_input_file(part.file) as raw:
         at = part.start
@@ -94,9 +102,24 @@ def read_range(part: Range) -> Iterator[tuple]:
                 return
 
 
-def _some(parts: list[Range]) -> list[Range]:
-    """Spark asks for one part at least: an empty one where there is nothing to read."""
-    return parts or [Range("", "", 0, 0, dt.datetime(1970, 1, 1))]
+def _packed(ranges: Iterable[Range], size: int) -> list[Ranges]:
+    """Ranges for tasks, in turn: files are often far smaller than a range, so a task takes ranges up to `FILES` of them or to
+    `size` bytes. Spark asks for one part at least: an empty one where there is nothing to read."""
+    tasks: list[Ranges] = []
+    room = 0
+    for r in ranges:
+        if not tasks or len(tasks[-1].parts) >= FILES or room < r.stop - r.start:
+            tasks.append(Ranges([]))
+            room = max(size, LEAST)
+        tasks[-1].parts.append(r)
+        room -= r.stop - r.start
+    return tasks or [Ranges([])]
+
+
+def read_range(partition: Ranges) -> Iterator[tuple]:
+    """The lines of a task's ranges, in turn."""
+    for part in partition.parts:
+        yield from _lines(part)
 
 
 class _Reader(DataSourceReader):
@@ -104,10 +127,10 @@ class _Reader(DataSourceReader):
         self.path, self.size = path, size
 
     def partitions(self) -> list[Range]:
-        return _some([r for f in _files(self.path) for r in _cut(self.path, f, 0, f.size, self.size)])
+        return _packed((r for f in _files(self.path) for r in _cut(self.path, f, 0, f.size, self.size)), self.size)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return read_range(partition) if partition.stop else iter(())
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        return read_range(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -127,10 +150,11 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
         infos = {f.path: f for f in _files(self.path)}
-        return _some([r for name, stop in after.items() if name in infos for r in _cut(self.path, infos[name], before.get(name, 0), stop, self.size)])
+        named = ((infos[name], before.get(name, 0), stop) for name, stop in after.items() if name in infos)
+        return _packed((r for info, start, stop in named for r in _cut(self.path, info, start, stop, self.size)), self.size)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return read_range(partition) if partition.stop else iter(())
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        return read_range(partition)
 
 
 class PlacedLines(DataSource):

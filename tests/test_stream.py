@@ -214,3 +214,17 @@ def test_appended_lines_arrive_and_equal_lines_differ(spark, tmp_path):
     (logs / "run-2.log").write_text("other\n")
     assert follow() == [*texts[:5], "same line", "new", "other"]
     assert follow() == [*texts[:5], "same line", "new", "other"]
+
+
+def test_many_small_files_share_a_task(spark, tmp_path):
+    """Tasks follow the bytes and not the number of files, and each line is still read once, with its file and place."""
+    for i in range(600):
+        (tmp_path / f"run-{i:03d}.log").write_text(f"first {i}\nsecond {i}\n")
+    (tmp_path / "run-900.log").write_text("x" * 99 + "\n" + "y" * (3 << 20) + "\n" + "z\n")
+    tasks = PL._Reader(str(tmp_path), 4096).partitions()
+    assert len(tasks) < 20 and max(len(t.parts) for t in tasks) <= PL.FILES
+    assert max(sum(r.stop - r.start for r in t.parts) for t in tasks) <= PL.LEAST
+    got = CL.read_log_files(spark, str(tmp_path), 4096).select("run_id", "at", "message").collect()
+    wanted = [(f"run-{i:03d}", at, f"{word} {i}") for i in range(600) for at, word in ((0, "first"), (len(f"first {i}") + 1, "second"))]
+    wanted += [("run-900", 0, "x" * 99), ("run-900", 100, "y" * (3 << 20)), ("run-900", 101 + (3 << 20), "z")]
+    assert sorted(map(tuple, got)) == sorted(wanted)
