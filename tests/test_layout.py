@@ -8,6 +8,7 @@ from edgeloom.operators import ingest_assets as A
 from edgeloom.operators import ingest_edges as G
 from edgeloom.operators import ingest_files as FI
 from edgeloom.plans import ingest as I
+from edgeloom.sources import tables as T
 from edgeloom.workload import fixtures as X
 from tests.helpers import edge, file_event, lines, table
 
@@ -62,3 +63,28 @@ def test_logs_and_tables_are_packed_and_ids_follow_the_shuffle(spark, tmp_path,
     ]
     for got, want in pairs:
         assert want.count() and sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_shuffle_of_mentions_moves_the_columns_of_the_table(spark, tmp_path):
+    plan = X.file_event_lines(spark, lineitems(spark, tmp_path))._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning", 1)[1].split("\n", 1)[1]
+    assert "l_quantity" in below and "concat(" not in below and "CASE" not in below
+
+
+
+def test_ids_are_made_by_reading(spark, tmp_path):
+    text = file_event("p", 1, tables=[table("a", columns=["x"]), table("b")], lineageEdges=[edge("a", "b")])
+    lake = I.ingest(lines(spark, text), f"{tmp_path}/lake")
+    for name, ids in IDS.items() | {("assets", A.asset_ids)}:
+        name = "edges" if name == "lineage" else name
+        assert lake[name].count() and not lake[name].filter(" OR ".join(f"{c} IS NULL" for c in ids())).count()
+        for file in glob.glob(f"{tmp_path}/lake/{name}/**/*.parquet", recursive=True):
+            assert not set(ids()) & set(pq.ParquetFile(file).schema_arrow.names)
+
+
+def test_stored_ids_are_read_as_they_are(spark, tmp_path):
+    rows = spark.createDataFrame([("c1", "a1", "r", "t", "x"), (None, None, "r", "t", "y")], "asset_column_id string, asset_id string, run_id string, short_name string, column_name string")
+    T.write_table(rows, f"{tmp_path}/c", "asset_columns")
+    got = T.read_table(spark, f"{tmp_path}/c", "asset_columns")
+    assert got.columns == T.schema("asset_columns").names
+    assert {(r.asset_column_id, r.asset_id) for r in got.collect()} == {("c1", "a1"), (None, None)}
