@@ -9,6 +9,8 @@ after another character (checked on loading), so no piece crosses such a cut and
 a byte-pair model with other pieces, and any unigram model, is encoded text by text. The library's unigram model takes
 a text that spells out the name of a byte piece for that piece; parity is false there.
 
+Decoding goes by distinct segments as well: the ids of a text are those of its segments in turn, and so is its text.
+
 Parity: each distinct segment that a worker meets is encoded by the SentencePiece library as well, and `parity` says
 whether all segments of a text agree. Round trip: `decoded` is the text from the ids.
 
@@ -35,6 +37,7 @@ SPACE = "▁"
 # Fixed values of the model file: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+MARK = "\U0010ffff\n\U0010ffff"  # parts texts that are decoded together
 
 # Spaces at the end of a text stay with its last word: on their own they can't be given to the other library.
 _SEGMENT = re.compile(rf"{SPACE}*[^{SPACE}]+(?:{SPACE}+\Z)?|{SPACE}+")
@@ -160,8 +163,9 @@ class Codec:
         self.tokenizer = Tokenizer(core)
         self.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.by_segment = m.cuts_at_spaces()
-        self.cache = SegmentCache(lambda segments: [struct.pack(f"<{len(ids)}I", *ids) for ids in self._batch(segments)])
+        self.cache = SegmentCache(self._segments)
         self.odd: set[str] = set()
+        self.texts: dict[bytes, str] = {}
         self.shown = {i for i, t in enumerate(m.types) if t != CONTROL}
 
     def normalize(self, text: str) -> str:
@@ -182,23 +186,59 @@ class Codec:
             self.odd.update(s for s, a, b in zip(segments, made, theirs, strict=True) if a != b)
         return made
 
+    def _segments(self, segments: list[str]) -> list[bytes]:
+        """Encode segments, and decode their ids at once: `texts` has the text of all ids that the cache gives."""
+        if not self.cache.known:
+            self.texts.clear()
+        made = self._batch(segments)
+        packed = [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
+        self.texts.update(zip(packed, self._decode_each(made), strict=True))
+        return packed
+
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[bytes, bool]]:
         """Ids of each text as little-endian 32-bit numbers, and whether both libraries agree on them."""
+        return ((packed, parity) for packed, parity, _ in self.there_and_back(texts))
+
+    def there_and_back(self, texts: list[str]) -> Iterator[tuple[bytes, bool, str]]:
+        """The same, and the text that the ids decode to."""
         for group in in_groups(texts):
             ready = [self.normalize(t) for t in group]
             if self.by_segment:
                 cut = [_SEGMENT.findall(t) for t in ready]
                 self.cache.learn(cut)
                 for segments in cut:
-                    yield self.cache.encode(segments), not self.odd or self.odd.isdisjoint(segments)
+                    packed = self.cache.pieces(segments)
+                    yield b"".join(packed), not self.odd or self.odd.isdisjoint(segments), self.decode_pieces(packed)
             else:
                 for ids, theirs in zip(self._batch(ready), self.other.encode(group, num_threads=1), strict=True):
-                    yield np.array(ids, dtype="<u4").tobytes(), ids == theirs
+                    yield np.array(ids, dtype="<u4").tobytes(), ids == theirs, self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: bytes joined to characters, without control pieces and the space put in front."""
+        return self._without_prefix(self._decode(ids))
+
+    def decode_pieces(self, packed: list[bytes]) -> str:
+        """The same for the ids of whole segments, whose texts are known. The bytes of a character never lie in two segments,
+        so the text is that of all ids in one."""
+        return self._without_prefix("".join(map(self.texts.__getitem__, packed)))
+
+    def _pieces(self, ids: list[int]) -> list[str]:
         pieces = self.model.pieces
-        text = self.decoder.decode([pieces[i] for i in ids if i in self.shown])
+        return [pieces[i] for i in ids if i in self.shown]
+
+    def _decode(self, ids: list[int]) -> str:
+        return self.decoder.decode(self._pieces(ids))
+
+    def _decode_each(self, many: list[list[int]]) -> list[str]:
+        """The texts of runs of ids, decoded in one call with a mark after each; one by one if some text holds the mark."""
+        pieces: list[str] = []
+        for ids in many:
+            pieces += self._pieces(ids)
+            pieces.append(MARK)
+        texts = self.decoder.decode(pieces).split(MARK)
+        return texts[:-1] if len(texts) == len(many) + 1 else [self._decode(ids) for ids in many]
+
+    def _without_prefix(self, text: str) -> str:
         return text[1:] if self.model.add_dummy_prefix and text.startswith(" ") else text
 
 
@@ -220,14 +260,13 @@ def encode_documents(docs: DataFrame, model_bytes: bytes, key: str = "doc_id", t
         for batch in sliced(batches):
             doc_ids, texts = (batch.column(i).to_pylist() for i in range(2))
             out: list[list] = [[] for _ in range(5 + 2 * outputs)]
-            encoded = codec.encode_texts([t or "" for t in texts])
-            for doc_id, value, (packed, parity) in zip(doc_ids, texts, encoded, strict=True):
+            encoded = codec.there_and_back([t or "" for t in texts])
+            for doc_id, value, (packed, parity, decoded) in zip(doc_ids, texts, encoded, strict=True):
                 if value is None:
                     row = [doc_id, None, None, True, True, None, None]
                 else:
-                    ids = as_uint32(packed).tolist()
-                    decoded = codec.decode(ids)
-                    row = [doc_id, len(ids), zlib.crc32(packed), parity, decoded == value, ids, decoded]
+                    ids = as_uint32(packed)
+                    row = [doc_id, len(ids), zlib.crc32(packed), parity, decoded == value, *([ids, decoded] if outputs else [])]
                 for to, v in zip(out, row, strict=False):
                     to.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.string()]

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from edgeloom.llm.sentencepiece_codec import BYTE, CONTROL, NORMAL, UNKNOWN, Codec, SentencePieceModel, encode_documents, read_model, wire_fields
+from edgeloom.llm.sentencepiece_codec import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, Codec, SentencePieceModel, encode_documents, read_model, wire_fields
 
 MODEL = read_model(public_tokenizers.path("piece_bpe_32k.model"))
 TEXTS = [
@@ -59,6 +59,22 @@ def test_parity_and_round_trip(model, words):
     assert all(codec.decode(i) == t for i, t in zip(ids, texts) if "▁" not in t)
 
 
+@pytest.mark.parametrize("limit", [900_000, 3])
+def test_each_distinct_run_of_ids_is_decoded_once(words, limit, monkeypatch):
+    codec, decoded = Codec(MODEL), []
+    codec.cache.limit = limit
+    texts = [*TEXTS, *generated(words, 2), "é 梦 é 梦", "▁é ▁😀 ", "\U0010ffff  \u2581x", f"a {MARK} b", f"{MARK}{MARK[:2]}"]
+    each = codec._decode_each
+    monkeypatch.setattr(codec, "_decode_each", lambda many: (decoded.extend(map(tuple, many)), each(many))[1])
+    made = list(codec.there_and_back(texts * 2))
+    if limit > 3:
+        assert len(decoded) == len(set(decoded))
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    for packed, _, text in made:
+        ids = np.frombuffer(packed, dtype="<u4").tolist()
+        assert text == codec.decode(ids) == theirs.decode(ids)
+
+
 def test_model_file():
     model, theirs = SentencePieceModel.parse(MODEL), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     assert model.pieces == [theirs.id_to_piece(i) for i in range(theirs.get_piece_size())]
