@@ -72,6 +72,17 @@ def test_the_shuffle_of_mentions_moves_the_columns_of_the_table(spark, tmp_path)
 
 
 
+def test_a_long_log_lands_in_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "LINES_PER_FILE", 3)
+    log = f"{tmp_path}/log"
+    monkeypatch.setattr(X, "place", lambda *a: log)
+    rows = "id AS event_id, 'signup' AS event_type, id AS user_id, 1.0D AS value, '' AS props, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts"
+    spark.range(1, 11, numPartitions=1).selectExpr(*rows.split(", ")).write.parquet(f"{tmp_path}/events.parquet")
+    X.run_log.__wrapped__(spark, str(tmp_path))
+    assert len(glob.glob(f"{log}/*.gz")) == 4
+    assert spark.read.text(log).count() == 10
+
+
 def test_ids_are_made_by_reading(spark, tmp_path):
     text = file_event("p", 1, tables=[table("a", columns=["x"]), table("b")], lineageEdges=[edge("a", "b")])
     lake = I.ingest(lines(spark, text), f"{tmp_path}/lake")
