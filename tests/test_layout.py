@@ -1,6 +1,7 @@
 """What the stored tables and logs cost on disk: ids are made after the shuffle, and what is written is packed."""
 
 import glob
+import os
 
 import pyarrow.parquet as pq
 
@@ -99,3 +100,15 @@ def test_stored_ids_are_read_as_they_are(spark, tmp_path):
     got = T.read_table(spark, f"{tmp_path}/c", "asset_columns")
     assert got.columns == T.schema("asset_columns").names
     assert {(r.asset_column_id, r.asset_id) for r in got.collect()} == {("c1", "a1"), (None, None)}
+
+
+def test_a_table_is_written_when_it_is_asked_for(spark, tmp_path):
+    """Only the asked table and those it follows from are written, with the rows that the whole ingest gives them."""
+    tables = [table("a", columns=["x"]), table("b", "target")]
+    text = [file_event("r", n, tables=tables, table_edges=[edge("a", "b"), edge("a", "gone")]) for n in range(5)]
+    whole = I.ingest(lines(spark, *text), f"{tmp_path}/whole")
+    for name, written in (("decoded", set()), ("asset_columns", {"asset_columns"}), ("lineage", {"assets", "edges"}), ("asset_files", {"assets", "edges", "asset_files"})):
+        lake = I.Lake(lines(spark, *text), f"{tmp_path}/{name}")
+        assert sorted(map(str, lake[name].collect())) == sorted(map(str, whole[name].collect())) and lake[name].count()
+        assert set(os.listdir(f"{tmp_path}/{name}")) == written | {"decoded"}
+    assert set(lake) == set(whole) and all(lake[name].count() == whole[name].count() for name in lake)
