@@ -9,6 +9,7 @@ from edgeloom.operators import ingest_assets as A
 from edgeloom.operators import ingest_edges as G
 from edgeloom.operators import ingest_files as FI
 from edgeloom.plans import ingest as I
+from edgeloom.sources import replays as R
 from edgeloom.sources import tables as T
 from edgeloom.workload import fixtures as X
 from tests.helpers import edge, file_event, lines, table
@@ -112,3 +113,47 @@ def test_a_table_is_written_when_it_is_asked_for(spark, tmp_path):
         assert sorted(map(str, lake[name].collect())) == sorted(map(str, whole[name].collect())) and lake[name].count()
         assert set(os.listdir(f"{tmp_path}/{name}")) == written | {"decoded"}
     assert set(lake) == set(whole) and all(lake[name].count() == whole[name].count() for name in lake)
+
+
+def test_what_follows_from_decoded_events_is_not_shuffled(spark, tmp_path):
+    """Rows of a run lie together: assets, columns and the ends of edges are found without moving the decoded events."""
+    tables = [table("a", columns=["x"]), table("b", "target")]
+    text = [file_event(f"r{n % 3}", n, tables=tables, table_edges=[edge("a", "b"), edge("a", "gone")]) for n in range(9)]
+    lake = I.Lake(lines(spark, *text), f"{tmp_path}/lake")
+    assets, decoded = lake["assets"], spark.table(lake.table)
+    named = A.asset_mentions(decoded)
+    resolved = G.edge_parts(G.edge_mentions(decoded), assets.hint("merge"))
+    counts = decoded.groupBy("run_id", "event_seq", "event_tie").count()
+    for df, moved in ((A.first_assets(named), 0), (A.column_parts(A.column_mentions(named)), 0), (counts, 0), (resolved, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == moved
+    assert lake["edges"].count() == 18 and lake["lineage"].count() == 9
+    assert decoded.count() == lake["decoded"].count() == 9
+
+
+def test_lines_of_an_event_are_put_together_without_a_shuffle(spark, tmp_path, monkeypatch):
+    log = f"{tmp_path}/log"
+    monkeypatch.setattr(X, "place", lambda *a: log)
+    sf = lineitems(spark, tmp_path)
+    made = []
+    monkeypatch.setattr(X, "land", lambda lines, path: made.append(lines))
+    X.file_log.__wrapped__(spark, sf)
+    assert "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, made[0].collect())) == sorted(map(str, X.file_event_lines(spark, sf).collect()))
+
+
+def test_a_log_with_replays_is_decoded_again_without_them(spark, tmp_path):
+    once, other = (file_event("r", n, tables=[table("a")]) for n in (1, 2))
+    for texts, repeats, rows in (
+        ([once, other, "no json"], False, 3),
+        ([once, once, other], True, 2),
+        ([once, once + " ", other], True, 3),
+        ([once, "no json", "no json"], True, 2),
+    ):
+        out = f"{tmp_path}/{abs(hash(tuple(texts)))}"
+        assert R.has_repeats(R.decode_lines(lines(spark, *texts), replays=False)) == repeats
+        lake = I.Lake(lines(spark, *texts), out)
+        want = R.decode_lines(lines(spark, *texts))
+        assert lake["decoded"].count() == rows and spark.table(lake.table).count() == rows
+        cols = ["run_id", "event_seq", "reason", "line"]
+        assert sorted(map(str, lake["decoded"].select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
