@@ -128,6 +128,8 @@ def test_what_follows_from_decoded_events_is_not_shuffled(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert plan.count("Exchange hashpartitioning") == moved
     assert lake["edges"].count() == 18 and lake["lineage"].count() == 9
+    for name in ("assets", "edges/skipped=false"):  # one file per bucket of runs
+        assert len(glob.glob(f"{tmp_path}/lake/{name}/*/*.parquet")) == len(os.listdir(f"{tmp_path}/lake/{name}")) - (name == "assets")
     assert decoded.count() == lake["decoded"].count() == 9
 
 
