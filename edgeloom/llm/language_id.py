@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.chains import forward_backward, side_by_side
-from edgeloom.llm.common import column, id_remainder
+from edgeloom.llm.common import column, id_remainder, in_small_batches
 from edgeloom.llm.words import kept, sliced
 
 UNDETERMINED = "und"
@@ -234,11 +234,11 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, usable, settings: Crf
 
 
 def _tagging(docs: DataFrame, crf: Crf):
-    """A function from texts to (language, score, labels of the words) each, for use in tasks."""
+    """A function from texts to (language, score, labels of the words if they are asked for) each, for use in tasks."""
     definition = pickle.dumps(crf)
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # of fixed size: the field grows with its settings only
 
-    def tag(texts: list[str | None]) -> list[tuple[str, float, np.ndarray | None]]:
+    def tag(texts: list[str | None], labels: bool = False) -> list[tuple[str, float, np.ndarray | None]]:
         tagger = kept(shared.value, lambda: Tagger(pickle.loads(shared.value)))
         out: list = [(UNDETERMINED, 0.0, None)] * len(texts)
         if not crf_languages:
@@ -248,7 +248,8 @@ def _tagging(docs: DataFrame, crf: Crf):
             if len(own):
                 mean = own.mean(axis=0)
                 best = int(mean.argmax())
-                out[i] = (crf_languages[best], min(1.0, float(mean[best])), gamma)
+                # Probabilities of a text are a view of those of its whole group, which they would keep.
+                out[i] = (crf_languages[best], min(1.0, float(mean[best])), gamma.argmax(axis=1) if labels else None)
         return out
 
     crf_languages = crf.languages
@@ -262,16 +263,16 @@ def tag_documents(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1024):
-            found = tag(batch.column(1).to_pylist())
+            found = tag(batch.column(1).to_pylist(), spans)
             arrays = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             names = ["doc_id", "lang_pred", "score"]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                arrays.append(pa.array([[] if g is None else spans_of(g.argmax(axis=1), languages) for _, _, g in found], kind))
+                arrays.append(pa.array([[] if g is None else spans_of(g, languages) for _, _, g in found], kind))
                 names.append("spans")
             yield pa.record_batch(arrays, names=names)
 
-    return docs.select(column(docs, key).cast("long"), column(docs, text)).mapInArrow(run, schema)
+    return in_small_batches(docs.select(column(docs, key).cast("long"), column(docs, text))).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.3) -> DataFrame:
@@ -287,7 +288,7 @@ def accepted(docs: DataFrame, crf: Crf, text: str = "text", least: float = 0.3)
             found = tag(texts)
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def fit_on_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", settings: CrfSettings = CrfSettings()) -> Crf:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import column, stored
+from edgeloom.llm.common import column, in_small_batches, stored
 from edgeloom.llm.words import SegmentCache, as_uint32, in_groups, kept, sliced
 
 CAPACITY, END_ID = 2048, 0
@@ -105,25 +105,26 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept(tokenizer_json, lambda: ByteBpe(tokenizer_json))
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end, width = np.array([end_id], dtype="<u4").tobytes(), 4
         for batch in sliced(batches):
             out: list[list] = [[] for _ in range(6 + keep_ids)]
             doc_ids, row_ids, texts = (batch.column(i).to_pylist() for i in range(3))
             encoded = bpe.encode_texts([t or "" for t in texts])
             for doc_id, row_id, packed in zip(doc_ids, row_ids, encoded, strict=True):
-                ids = as_uint32(packed + end)
-                first = (len(ids) - 1) % capacity + 1
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
+                ended = memoryview(packed + end)
+                total = len(ended) // width
+                first = (total - 1) % capacity + 1
+                cuts = [0, *range(first, total + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    made = [doc_id, row_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())]
-                    for to, v in zip(out, [*made, ids[a:b].tolist()] if keep_ids else made, strict=True):
+                    made = [doc_id, row_id, piece, a, b - a, zlib.crc32(ended[width * a : width * b])]
+                    for to, v in zip(out, [*made, as_uint32(ended[width * a : width * b]).tolist()] if keep_ids else made, strict=True):
                         to.append(v)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * keep_ids
             names = ["doc_id", "row_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
     source = docs.select(column(docs, key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), column(docs, text).alias("text"))
-    return source.mapInArrow(run, schema)
+    return in_small_batches(source).mapInArrow(run, schema)
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from edgeloom.llm import language_id as L
+from edgeloom.llm.common import ARROW_ROWS, TEXTS_AT_ONCE, in_small_batches
 
 LETTERS = {"en": "th he in er an on", "de": "sch ei ü ung ch tz", "fr": "eau é ç oi qu eux"}
 SMALL = L.CrfSettings(sample=120, rounds=15, width=4096)
@@ -75,3 +76,19 @@ def test_long_and_copied_training_texts(documents):
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert L.accepted(none, L.fit_on_documents(none)).count() == docs.count()
     assert L.accepted(docs, L.fit_on_documents(docs)).filter("lang = 'de'").count() == 3
+
+
+def test_texts_go_to_python_in_small_batches(documents):
+    """A batch of whole texts is held by the JVM and by the worker; ten thousand of them at once were too many."""
+    docs = documents([(i, t) for i, t in enumerate(["die katze", "1"])])
+    conf = docs.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    try:
+        for held, want in (("10000", str(TEXTS_AT_ONCE)), ("0", str(TEXTS_AT_ONCE)), ("7", "7")):
+            conf.set(ARROW_ROWS, held)
+            assert in_small_batches(docs).count() == 2 and conf.get(ARROW_ROWS) == want
+        conf.set(ARROW_ROWS, "10000")
+        L.accepted(docs, L.fit([]))
+        assert conf.get(ARROW_ROWS) == str(TEXTS_AT_ONCE)
+    finally:
+        conf.set(ARROW_ROWS, before)
