@@ -226,6 +226,25 @@ def test_first_rounds_go_over_all_training_texts(documents, monkeypatch):
         assert sorted(n for part in seen[:shares] for n in part) == wanted
 
 
+def test_every_round_goes_over_all_training_texts(documents, monkeypatch):
+    """With the settings of the operator no round is over a share of the texts, however many there are."""
+    from pyspark.sql import functions as F
+
+    settings = M.HmmSettings(states=2, head=SMALL.head, own=SMALL.own, suffixes=SMALL.suffixes)
+    rows = documents([(i, "w x") for i in range(6000)]).select(F.col("doc_id").alias("row_id"), "doc_id", (F.col("doc_id") % 5 == 1).alias("held_out"), "text")
+    voc = M.read_vocabulary(M.count_words(rows.filter("not held_out").select("text"), settings), settings)
+    encoded = M.stored(M.encode_texts(rows, voc), "test-encoded")
+    seen = []
+
+    def watched(part, model, vocabulary):
+        seen.append(part.count())
+        return model
+
+    monkeypatch.setattr(M, "baum_welch_round", watched)
+    M.train(encoded, voc)
+    assert seen == [4800] * (settings.sample_rounds + settings.rounds)
+
+
 def test_the_recursions_hold_two_arrays():
     rng = np.random.default_rng(3)
     emit, move = rng.random((50, 8)), rng.random((8, 8))
