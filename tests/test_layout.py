@@ -5,10 +5,13 @@ import os
 
 import pyarrow.parquet as pq
 
+from edgeloom.operators import catalog as CA
 from edgeloom.operators import ingest_assets as A
 from edgeloom.operators import ingest_edges as G
 from edgeloom.operators import ingest_files as FI
+from edgeloom.operators import lineage as LI
 from edgeloom.plans import ingest as I
+from edgeloom.sources import names as N
 from edgeloom.sources import replays as R
 from edgeloom.sources import tables as T
 from edgeloom.workload import fixtures as X
@@ -159,3 +162,28 @@ def test_a_log_with_replays_is_decoded_again_without_them(spark, tmp_path):
         assert lake["decoded"].count() == rows and spark.table(lake.table).count() == rows
         cols = ["run_id", "event_seq", "reason", "line"]
         assert sorted(map(str, lake["decoded"].select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_copies_by_name_hold_no_ids_and_are_written_when_asked_for(spark, tmp_path):
+    """Each question by name has its own copy written, packed and without what follows from other columns."""
+    text = [file_event(f"r{n}", n, tables=[table("a"), table("B", "target")], lineageEdges=[edge("a", "B"), edge("B", "B")]) for n in range(3)]
+    lake = I.Lake(lines(spark, *text), f"{tmp_path}/lake")
+    copies = N.ByName(spark, lake, f"{tmp_path}/copies")
+
+    def all_rows(df, columns):
+        return sorted(str(r) for r in df.select(*columns).collect())
+
+    want = CA.assets_by_name(lake["assets"]).drop("run_bucket")
+    assert all_rows(copies["assets"], want.columns) == all_rows(want, want.columns) and want.count() == 6
+    assert os.listdir(f"{tmp_path}/copies") == ["assets_by_name"] and "edges" not in os.listdir(f"{tmp_path}/lake")
+    for side in ("upstream", "downstream"):
+        want = LI.seen_from(lake["lineage"], side).drop("run_bucket")
+        assert all_rows(copies[side], want.columns) == all_rows(want, want.columns) and want.count() == 6
+        if side == "upstream":
+            assert os.listdir(f"{tmp_path}/copies/edges_by_name") == ["direction=upstream"]
+    want = LI.seen_from(lake["lineage"]).drop("run_bucket")
+    assert all_rows(copies["lineage"], want.columns) == all_rows(want, want.columns)
+    for file in glob.glob(f"{tmp_path}/copies/**/*.parquet", recursive=True):
+        held = pq.ParquetFile(file)
+        assert not {"asset_id", *G.edge_ids(), "neighbor", "neighbor_full"} & set(held.schema_arrow.names)
+        assert held.metadata.row_group(0).column(0).compression == "ZSTD"
