@@ -14,6 +14,7 @@ from edgeloom.plans import ingest as I
 from edgeloom.sources import names as N
 from edgeloom.sources import replays as R
 from edgeloom.sources import tables as T
+from edgeloom.streaming import ingest as S
 from edgeloom.workload import fixtures as X
 from tests.helpers import edge, file_event, lines, table
 
@@ -187,3 +188,22 @@ def test_copies_by_name_hold_no_ids_and_are_written_when_asked_for(spark, tmp_pa
         held = pq.ParquetFile(file)
         assert not {"asset_id", *G.edge_ids(), "neighbor", "neighbor_full"} & set(held.schema_arrow.names)
         assert held.metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_tables_of_a_stream_hold_no_ids(spark, tmp_path):
+    """Batches of a stream are stored packed and without ids; reading makes those that a batch ingest has."""
+    name = lambda n: table(f"t{n}", columns=["x", "x"])
+    text = [file_event("r", n, tables=[name(n), name(n + 1)], lineageEdges=[edge(f"t{n}", f"t{n + 1}"), edge("t9", "t0")]) for n in range(9)]
+    for i, part in enumerate((text[4:], text[:4])):  # the late events bring first mentions
+        lines(spark, *part).coalesce(1).write.text(f"{tmp_path}/landing/{i}")
+        S.start_ingest(spark, f"{tmp_path}/landing/*", f"{tmp_path}/stream", f"{tmp_path}/checkpoint").awaitTermination()
+    got, want = S.read_stream_lake(spark, f"{tmp_path}/stream"), I.ingest(lines(spark, *text), f"{tmp_path}/batch")
+    assert got["edge_fixes"].count()
+    for of, ids in (IDS | {"assets": A.asset_ids}).items():
+        columns = [c for c in want[of].columns if c not in ("run_bucket", "first_tie")]
+        a, b = (sorted(str(r) for r in df[of].select(*columns).collect()) for df in (got, want))
+        assert a and a == b and all(f"{c}='" in a[0] for c in ids())
+        files = glob.glob(f"{tmp_path}/stream/{'edges' if of == 'lineage' else of}/batch_id=*/*.parquet")
+        held = [pq.ParquetFile(f) for f in files]
+        assert held and not any(set(ids()) & set(f.schema_arrow.names) for f in held)
+        assert {f.metadata.row_group(0).column(0).compression for f in held if f.metadata.num_rows} == {"ZSTD"}
